@@ -1,3 +1 @@
-"""spanlake: a PySpark-native store and query layer for trace-shaped records."""
-
-__version__ = "0.1.0"
+"""spanlake: storage and queries for trace-shaped records on PySpark."""
