@@ -7,11 +7,13 @@ for edit similarity. Documents with a common sketch are candidates. Two document
 edit distance of their word sequences, found by banded alignment, is at most a fifth of the longer one
 (similarity 0.8 or more). A class is a connected component of links; its id is the least doc_id in it.
 
-Documents with the same words are one node from the start. Links are looked for in two rounds: each node is
-first aligned with the representative with which it shares most sketches; then, in buckets that still hold
-several components, all pairs between components are looked at in bounded blocks (blocks.py), and those
-whose lengths and word histograms allow similarity 0.8 (both are exact bounds) are aligned. So no bucket
-is capped and no candidate link is lost, and a bucket of true copies costs one alignment for each of them.
+Documents with the same words are one node from the start; a node is named by 64 bits of a hash of its words
+(two texts of n share a name with a chance of n * n / 2**65). Links are looked for in two rounds: each node is
+first aligned with the representative with which it shares most sketches, which labels it; then, in buckets
+that hold several labels, all pairs with different ones are looked at in bounded blocks (blocks.py), and those
+whose lengths and histograms of words and of word pairs allow similarity 0.8 (all are exact bounds) are
+aligned there, unless links found before join them already. So no bucket is capped, no candidate link
+between components is lost, and a bucket of true copies costs one alignment for each of them.
 
 Edge cases: null, empty and wordless texts link with nothing, each is its own class; documents of fewer than
 five words are one k-mer and so link only with equal ones; null ids never name a class unless all in it are
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from .align import edit_distance
 from .blocks import deal, pairs_of, units
-from .common import BROADCAST_ROWS, arrow_batches, drop_table, table
+from .common import arrow_batches, drop_table, table
 from .components import connected
 from .words import WordHashes, hashed_words, mix64
 
 K, SKETCHES, SIMILARITY = 5, 24, 0.8
-BINS, SALTS = 512, 32
+#: Bins of the histograms of words and of word pairs.
+BINS, PAIR_BINS = 512, 2048
 
 
 def labelled_kmers(h: np.ndarray) -> np.ndarray:
@@ -72,7 +76,7 @@ def sketch(h: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
 
 
 def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key (128-bit hash of the words; null: no word), n, words (32 bits each) and sketch of every row, written."""
+    """id, h (hash of the text), key (hash of the words; null: no word), n, words (32 bits each) and sketch of every row, written."""
 
     def run(batches):
         import pyarrow as pa
@@ -82,12 +86,12 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h, n = hashed_words(b.column(1).to_pylist(), hashes)
             parts = np.split(h, np.cumsum(n)[:-1]) if len(n) else []
             packed = [p.astype("<u4").tobytes() for p in parts]
-            keys = [hashlib.md5(p).hexdigest() if p else None for p in packed]
+            keys = [int.from_bytes(hashlib.md5(p).digest()[:8], "little", signed=True) if p else None for p in packed]
             sketches = [sketch(p).astype(np.int64) if len(p) else None for p in parts]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "h": b.column(2), "key": pa.array(keys, pa.string()), "n": pa.array(n, pa.int64()), "words": pa.array(packed, pa.binary()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "h": b.column(2), "key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32()), "words": pa.array(packed, pa.binary()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(2), text_col).alias("h"))
-    return table(rows.mapInArrow(run, "id long, h long, key string, n long, words binary, sketch array<long>"), "omh-words")
+    return table(rows.mapInArrow(run, "id long, h long, key long, n int, words binary, sketch array<long>"), "omh-words")
 
 
 def limit_of(n):
@@ -109,15 +113,7 @@ def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
                 linked.append(edit_distance(p, q, math.floor(limit_of(max(len(p), len(q))))) is not None)
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return x.mapInArrow(run, "a string, b string")
-
-
-def back(rows: DataFrame, groups: DataFrame, keys: list[str], spread: str) -> DataFrame:
-    """``rows`` joined with their (written) groups: by broadcast if these are few, else with salts for hot groups."""
-    if groups.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(groups), keys)
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+    return x.mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,71 +124,109 @@ def near_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrow_batches(docs.sparkSession, 500)
     rows = words_of(docs, id_col, text_col)
-    nodes = table(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "omh-nodes")
-    bands = nodes.select("key", "n", F.posexplode("sketch").alias("band", "value")).withColumn("bucket", F.xxhash64("band", "value")).select("bucket", "key", "n")
-    bands = table(bands, "omh-bands")
-    shared = table(bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("lead"), F.min_by("n", "key").alias("lead_n")).where("rows > 1"), "omh-buckets")
-    meet = table(back(bands, shared, ["bucket"], "key"), "omh-meet")
-    drop_table(bands)
-    able = F.abs(F.col("n") - F.col("lead_n")) <= limit_of(F.greatest("n", "lead_n"))
-    stars = meet.where((F.col("key") != F.col("lead")) & able).groupBy("key", "lead").agg(F.count(F.lit(1)).alias("common"))
-    stars = stars.groupBy("key").agg(F.max_by("lead", F.struct("common", "lead")).alias("b")).select(F.col("key").alias("a"), "b")
-    words = rows.where("key is not null").groupBy("key").agg(F.any_value("words").alias("words"))
+    known = rows.where("key is not null")
+    nodes = table(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "omh-nodes")
+    bands = nodes.select("key", "n", F.posexplode("sketch").alias("band", "value")).select("key", "n", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "value").alias("bucket"))
+    # A bucket holds a node once, so the hottest has one in SKETCHES of these rows; adaptive execution splits it.
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("lead")).where("rows > 1")
+    meet = table(bands.join(shared, "bucket"), "omh-meet")
     # The words of nodes that share a bucket, one copy of each.
-    words = table(words.join(meet.select("key").distinct(), "key", "left_semi"), "omh-meeting-words")
-    stars = table(stars, "omh-stars")
+    words = known.join(meet.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words"))
+    words = table(words, "omh-meeting-words")
+    stars = meet.where("key <> lead").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("common"))
+    stars = stars.groupBy("key").agg(F.max_by("lead", F.struct("common", "lead")).alias("b")).select(F.col("key").alias("a"), "b")
     first = table(aligned(stars, words), "omh-links")
-    component = connected(first)
-    labelled = meet.select("bucket", "key", "n").join(component.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    labelled = table(labelled, "omh-labelled")
+    # A label is a node that links lead to: equal labels are one component, different ones may be.
+    jump = first.select(F.col("a").alias("b"), F.col("b").alias("far"))
+    labels = first.join(jump, "b", "left").select(F.col("a").alias("key"), F.coalesce("far", "b").alias("component"))
+    labelled = meet.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    labelled = table(labelled.select("bucket", "band", "key", "n", "component"), "omh-labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
-    rest = back(labelled, table(split.select("bucket", "rows"), "omh-split"), ["bucket"], "key").join(words, "key")
-    second = table(between(rest).distinct().join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "omh-pairs")
-    links = first.unionByName(table(aligned(second, words), "omh-more-links"))
+    rest = labelled.join(split.select("bucket", "rows"), "bucket").join(words, "key")
+    links = first.unionByName(table(between(rest), "omh-more-links"))
     component = connected(links).withColumnRenamed("node", "key")
-    named = nodes.select("key", "rep").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # Only nodes that stand for several rows or are linked have a class other than the row's own id.
+    named = nodes.select("key", "rep", "copies").join(component, "key", "left").where("copies > 1 or component is not null")
+    named = named.withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = table(named.join(smallest, "component").select("key", "class_id"), "omh-classes")
-    for t in (words, meet, labelled, shared, second):
+    named = table(named.join(smallest, "component").select("key", "class_id", F.lit(True).alias("several")), "omh-classes")
+    for t in (words, meet, labelled):
         drop_table(t)
-    slim = rows.select("id", "h", "key")
-    if named.count() <= BROADCAST_ROWS:
-        out = slim.join(F.broadcast(named), "key", "left")
-    else:
-        salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(3))))
-        out = slim.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(4)).cast("int")).join(salted, ["key", "salt"], "left")
-    class_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    return out.select(F.col("id").alias("doc_id"), "h", class_id.alias("class_id"))
+    out = rows.select("id", "h", "key").join(named, "key", "left")
+    return out.select(F.col("id").alias("doc_id"), "h", F.when(F.col("several"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+
+
+def histograms(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts, cut at 255, of hashed words and of hashed pairs of neighbours."""
+    single, double = np.zeros((len(words), BINS), np.uint8), np.zeros((len(words), PAIR_BINS), np.uint8)
+    for k, w in enumerate(words):
+        h = np.frombuffer(w, "<u4").astype(np.uint64)
+        single[k] = np.minimum(np.bincount((h % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255)
+        pair = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(PAIR_BINS)
+        double[k] = np.minimum(np.bincount(pair.astype(np.int64), minlength=PAIR_BINS), 255)
+    return single, double
+
+
+def possible(i: np.ndarray, j: np.ndarray, edits: np.ndarray, counts: np.ndarray, q: int, step: int = 4096) -> np.ndarray:
+    """Of pairs (i, j), those whose histograms of q-grams differ by no more than ``edits`` edits can make them: an
+    edit takes away at most q of the one's q-grams and brings at most q of the other's."""
+    keep = np.zeros(len(i), bool)
+    for a in range(0, len(i), step):
+        x, y = counts[i[a : a + step]], counts[j[a : a + step]]
+        apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        keep[a : a + step] = apart <= 2 * q * edits[a : a + step]
+    return keep
+
+
+def new_links(unit: dict) -> Iterator[tuple[int, int]]:
+    """Links (as row numbers) between rows of a unit with different labels; each joins two groups that weren't joined."""
+    n = np.array(unit["n"], np.int64)
+    _, c = np.unique(unit["component"], return_inverse=True)
+    mask = (np.abs(n[:, None] - n[None, :]) <= limit_of(np.maximum(n[:, None], n[None, :]))) & (c[:, None] != c[None, :])
+    i, j = pairs_of(unit["block"], unit["alone"][0], mask)
+    if not len(i):
+        return
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    words = [unit["words"][k] for k in used]
+    i, j = at[: len(i)], at[len(i) :]
+    n, c = n[used], c[used]
+    edits = np.floor(limit_of(np.maximum(n[i], n[j]))).astype(np.int64)
+    for q, counts in enumerate(histograms(words), 1):
+        keep = possible(i, j, edits, counts, q)
+        i, j, edits = i[keep], j[keep], edits[keep]
+    if not len(i):
+        return
+    h = [np.frombuffer(w, "<u4").astype(np.uint64) for w in words]
+    sketches = {k: sketch(h[k]) for k in np.unique(np.concatenate([i, j])).tolist()}
+    top = list(range(int(c.max()) + 1))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    band = unit["band"][0]
+    for a, b, k in zip(i.tolist(), j.tolist(), edits.tolist(), strict=True):
+        x, y = root(c[a]), root(c[b])
+        # A pair that meets in several buckets is aligned in the first of them.
+        if x != y and int((sketches[a] == sketches[b]).argmax()) == band and edit_distance(h[a].view(np.int64), h[b].view(np.int64), k) is not None:
+            top[max(x, y)] = min(x, y)
+            yield int(used[a]), int(used[b])
 
 
 def between(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes of a bucket in different components that lengths and histograms of words don't rule out."""
-    dealt = deal(rows, ["bucket"], "rows", "key").select("unit", "block", "alone", "key", "component", "n", "words")
+    """Links a, b between nodes of a bucket whose labels differ."""
+    names = ["block", "alone", "band", "key", "component", "n", "words"]
+    dealt = deal(rows, ["bucket"], "rows", "key").select("unit", *names)
 
     def run(batches):
         import pyarrow as pa
 
-        for u in units(batches, ["block", "alone", "key", "component", "n", "words"]):
-            if len(u["key"]) < 2:
-                continue
-            n = np.array(u["n"])
-            _, c = np.unique(u["component"], return_inverse=True)
-            mask = (np.abs(n[:, None] - n[None, :]) <= limit_of(np.maximum(n[:, None], n[None, :]))) & (c[:, None] != c[None, :])
-            i, j = pairs_of(u["block"], u["alone"][0], mask)
-            if not len(i):
-                continue
-            bags = np.array([np.minimum(np.bincount(np.frombuffer(w, "<u4") % BINS, minlength=BINS), 60000) for w in u["words"]], np.int32)
-            keep = np.zeros(len(i), bool)
-            for a in range(0, len(i), 8192):
-                # An edit changes the histogram's distance by two at most.
-                p, q = i[a : a + 8192], j[a : a + 8192]
-                keep[a : a + 8192] = np.abs(bags[p] - bags[q]).sum(axis=1) <= 2 * np.floor(limit_of(np.maximum(n[p], n[q])))
-            i, j = i[keep], j[keep]
-            for a in range(0, len(i), 8192):
-                yield pa.RecordBatch.from_pydict({"a": [u["key"][x] for x in i[a : a + 8192]], "b": [u["key"][x] for x in j[a : a + 8192]]})
-
-    pairs = dealt.mapInArrow(run, "a string, b string")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        for u in units(batches, names):
+            if len(u["key"]) > 1 and (found := list(new_links(u))):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([u["key"][x] for x, _ in found], pa.int64()), "b": pa.array([u["key"][y] for _, y in found], pa.int64())})
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
