@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Up to so many edits the diagonals are walked one by one; beyond, a banded table is filled row by row.
-WALKED = 48
+#: Up to so many edits the diagonals are walked one by one; beyond, a band of the table is filled column by column.
+WALKED = 6
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, bound: int) -> int | None:
@@ -62,25 +62,42 @@ def _walk(a: np.ndarray, b: np.ndarray, bound: int) -> int | None:
 
 
 def _band(a: np.ndarray, b: np.ndarray, bound: int) -> int | None:
+    """Banded alignment with a column of the band in the bits of an integer (Hyyro 2003).
+
+    Bit r of column i stands for row i + bound + 1 - width + r of the longer sequence; the band moves down by a row
+    with each column. The distance is followed along the band's lower diagonal to the last row, and then along it.
+    """
+    if len(a) < len(b):
+        a, b = b, a
     n, m = len(a), len(b)
-    width = 2 * bound + 1
-    big = np.int32(n + m + 1)
-    offsets = np.arange(width, dtype=np.int32)
-    # Cell c of row i stands for column i - bound + c.
-    row = np.where(offsets >= bound, offsets - bound, big).astype(np.int32)
-    row[bound + m + 1 :] = big
-    padded = np.full(m + 2 * width + 2, -1, np.int64)
-    padded[width : width + m] = b
-    for i in range(1, n + 1):
-        at = i - 1 - bound + width
-        best = np.minimum(row + (padded[at : at + width] != a[i - 1]), np.append(row[1:], big) + 1)
-        column = i - bound + offsets
-        best = np.where((column < 0) | (column > m), big, np.where(column == 0, i, best)).astype(np.int32)
-        row = np.minimum.accumulate(best - offsets) + offsets
-        row = np.where((column < 0) | (column > m), big, row)
-        if row.min() > bound:
-            return None
-    found = int(row[m - n + bound])
+    bound = min(bound, n)
+    width = 2 * bound + 2
+    full, lead = (1 << width) - 1, width - 1 - bound
+    at: dict[int, int] = {}
+    for k, x in enumerate(a.tolist(), lead):
+        at[x] = at.get(x, 0) | (1 << k)
+    up, down = (full << lead) & full, 0
+    found, last = bound, width - 1
+    for i, x in enumerate(b[: n - bound].tolist()):
+        match = (at.get(x, 0) >> i) & full
+        same = ((((match & up) + up) ^ up) | match | down) & full
+        plus, minus = down | (full & ~(same | up)), same & up
+        if not same >> last:
+            found += 1
+            # Only the steps along the last row can still lower it.
+            if found > bound + m - (n - bound):
+                return None
+        same >>= 1
+        up, down = minus | (full & ~(same | plus)), same & plus
+    bit = 1 << (width - 2)
+    for i, x in enumerate(b[n - bound :].tolist(), n - bound):
+        match = (at.get(x, 0) >> i) & full
+        same = ((((match & up) + up) ^ up) | match | down) & full
+        plus, minus = down | (full & ~(same | up)), same & up
+        found += bool(plus & bit) - bool(minus & bit)
+        bit >>= 1
+        same >>= 1
+        up, down = minus | (full & ~(same | plus)), same & plus
     return found if found <= bound else None
 
 
