@@ -14,36 +14,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import table
 
-SALTS = 32
+
+def bound(value, f):
+    """f(value) with ``value`` computed once, however often f uses it and whatever lambdas it does so in."""
+    return F.transform(F.array(value), f)[0]
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed and the cleaned text of every row. Only hashes are shuffled by window; a window's
-    rows are pre-aggregated and the way back is broadcast if the repeated windows are few, or else salted."""
+    """doc_id, n_lines, n_removed and the cleaned text of every row. Only hashes are shuffled by window; counting
+    pre-aggregates, and the join of windows with repeated ones is one that adaptive execution splits where it is hot."""
     key = F.struct(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
     lines = F.split("text", "\n", -1)
-    starts = F.when(F.size(lines) >= 3, F.sequence(F.lit(0), F.size(lines) - 3))
-    windows = base.select("key", lines.alias("lines"), F.explode(starts).alias("pos"))
-    at = [F.col("lines")[F.col("pos") + k] for k in range(3)]
-    windows = windows.where(F.concat(*at) != "").select("key", "pos", F.xxhash64(F.lit(3), *at).alias("a"), F.xxhash64(F.lit(5), *at).alias("b"))
+
+    def windows_of(ls):
+        def window(i):
+            at = [ls[i + k] for k in range(3)]
+            return F.when(F.octet_length(at[0]) + F.octet_length(at[1]) + F.octet_length(at[2]) > 0, F.struct(i.alias("pos"), F.xxhash64(F.lit(3), *at).alias("a"), F.xxhash64(F.lit(5), *at).alias("b")))
+
+        return F.when(F.size(ls) >= 3, F.transform(F.sequence(F.lit(0), F.size(ls) - 3), window))
+
+    windows = base.select("key", F.explode(bound(lines, windows_of)).alias("w")).where("w is not null").select("key.id", "key.h", "w.pos", "w.a", "w.b")
     windows = table(windows, "line-windows")
-    groups = windows.groupBy("a", "b").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = table(groups.where("n > 1").select("a", "b", "first"), "line-groups")
-    if groups.count() <= BROADCAST_ROWS:
-        later = windows.join(F.broadcast(groups), ["a", "b"])
-    else:
-        salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        later = windows.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "salt"])
-    later = later.where(F.struct("key", "pos") != F.col("first"))
-    covered = later.groupBy("key").agg(F.collect_set("pos").alias("starts"))
+    place = F.struct("id", "h", "pos")
+    groups = windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
+    later = windows.join(groups, ["a", "b"]).where(place != F.col("first"))
+    covered = later.groupBy("id", "h").agg(F.collect_set("pos").alias("starts")).select(F.struct("id", "h").alias("key"), "starts")
     covered = covered.withColumn("gone", F.array_distinct(F.flatten(F.transform("starts", lambda s: F.array(s, s + 1, s + 2)))))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
     out = base.join(covered.select("key", "gone"), "key", "left")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
+
+    def cleaned(ls):
+        left = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
+        return F.array_join(F.transform(left, lambda i: ls[i]), "\n")
+
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(bound(lines, cleaned))
     return out.select("doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"))
 
 
