@@ -22,6 +22,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -33,6 +34,8 @@ MAGIC = b"SLEFIDS1"
 #: A block ends after so many ids or documents; it bounds the memory of writers and readers.
 BLOCK_IDS, BLOCK_DOCS = 1 << 20, 1 << 15
 SAMPLE = 64
+#: Bytes of text that are encoded together; a batch more than that at most.
+CHUNK = 1 << 23
 
 
 class EliasFano:
@@ -114,6 +117,7 @@ class Encoder:
         self.tok, self.words, self.pieces = kept[path]
         self.model = self.tok.model.tokenize
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.split, self.odd = regex.compile(pattern).findall if pattern else None, re.compile(r" (?:\s|\Z)").search
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -123,30 +127,59 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if (got := self.pieces.get(piece)) is None:
-            shown = piece.encode().decode("latin-1").translate(self.shown)
-            got = np.array([t.id for t in self.model(shown)], self.dtype).tobytes()
-            if len(self.pieces) < self.KEPT:
-                self.pieces[piece] = got
-        return got
+    def _ids(self, piece: str) -> bytes:
+        shown = piece if piece.isalnum() and piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return array(self.code, [t.id for t in self.model(shown)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if (got := self.words.get(word)) is None:
-            got = b"".join(map(self._piece, self.split(word)))
-            if len(self.words) < self.KEPT:
-                self.words[word] = got
+        """Ids of what stands before a space or between two; of several pieces each is kept."""
+        parts = self.split(word)
+        if len(parts) == 1:
+            return self._ids(word)
+        found = []
+        for p in parts:
+            if (ids := self.pieces.get(p)) is None:
+                ids = self._ids(p)
+                if len(self.pieces) < self.KEPT:
+                    self.pieces[p] = ids
+            found.append(ids)
+        return b"".join(found)
+
+    def _after_space(self, word: str) -> bytes:
+        got = self._word(" " + word)
+        if len(self.words) < self.KEPT:
+            self.words[word] = got
         return got
 
-    def __call__(self, text: str) -> bytes:
-        if self.split is None or self.odd(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        words = [first, *[" " + w for w in rest]]
-        got = list(map(self.words.get, words))
-        if None in got:
-            got = [self._word(w) if g is None else g for w, g in zip(words, got, strict=True)]
-        return b"".join(got)
+    def __call__(self, texts) -> list[bytes]:
+        """Id bytes of each text of an Arrow array without nulls; each different word of the array is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = texts.to_pylist()
+        if not plain:
+            return []
+        if self.split is None:
+            return list(map(self._whole, plain))
+        lists = pc.split_pattern(texts, " ")
+        starts, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten().dictionary_encode()
+        starts -= starts[0]
+        known, at = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        own = []
+        for k, text in enumerate(plain):
+            # The first word has no space before it; an odd text is one entry, and its other words are empty ones.
+            if self.odd(text) or any(s in text for s in self.special):
+                own.append(self._whole(text))
+                at[starts[k] : starts[k + 1]] = len(known) + len(plain)
+            else:
+                own.append(self._word(text.partition(" ")[0]))
+        at[starts[:-1]] = len(known) + np.arange(len(plain))
+        kept = map(self.words.get, known)
+        entries = [self._after_space(w) if g is None else g for g, w in zip(kept, known, strict=True)] + own + [b""]
+        found = pa.array(entries, pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(found.buffers()[1], np.int64, len(at) + 1)[starts]
+        data = found.buffers()[2].to_pybytes() if found.buffers()[2] is not None else b""
+        return [data[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str, pattern: str | None, end_id: int = 0) -> DataFrame:
@@ -181,9 +214,20 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             at, before = at + blocks[-1]["size"], before + total
             ids, parts, ends, total = [], [], [], 0
 
-        for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = encode(text) + end
+        def chunks():
+            held, size = [], 0
+            for b in batches:
+                held.append(b)
+                size += b.nbytes
+                if size >= CHUNK:
+                    yield held
+                    held, size = [], 0
+            yield held
+
+        for held in chunks():
+            names = [i for b in held for i in b.column(0).to_pylist()]
+            for i, got in zip(names, encode(pa.concat_arrays([b.column(1) for b in held])) if held else [], strict=True):
+                got += end
                 ids.append(i)
                 parts.append(got)
                 total += len(got) // encode.dtype.itemsize
