@@ -33,7 +33,7 @@ CLASSES = [(re.compile(p), r) for p, r in ((r"[^\W\d_]+", lambda m: "A" if m[0].
 class Tokens(dict):
     """token -> word place and shape hash in one number."""
 
-    kept = 500_000
+    kept = 250_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.kept:
@@ -70,17 +70,28 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, dims: int = DIMS):
-    """(weights of terms, projection, unit vectors, labels, share of label 1)."""
+    """(weights of terms, projection, unit vectors, labels, share of label 1). ``x`` is overwritten."""
     share = float((y.sum() + 0.5) / (len(y) + 1))
     if not len(y):
         return np.ones(WORDS + SHAPES, np.float32), np.zeros((WORDS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), y, share
-    w = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 0.1
+    w = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
     w[WORDS:] *= SHAPE_WEIGHT
-    values, vectors = np.linalg.eigh((z := unit(x * w)) @ z.T)
-    best = np.argsort(values)[::-1][: min(dims, len(values))]
-    best = best[values[best] > 1e-6]
-    v = z.T @ (vectors[:, best] / np.sqrt(values[best]))
-    return w, v.astype(np.float32), unit(z @ v).astype(np.float32), y, share
+    x *= w
+    length = np.sqrt(np.einsum("ij,ij->i", x, x))
+    x /= np.where(length > 0, length, 1)[:, None]
+    v = right_vectors(x, dims)
+    return w, v, unit(x @ v).astype(np.float32), y, share
+
+
+def right_vectors(z: np.ndarray, dims: int, more: int = 16, rounds: int = 12) -> np.ndarray:
+    """The right singular vectors of the largest ``dims`` singular values, by subspace iteration (no Gram matrix)."""
+    size = min(dims + more, *z.shape)
+    v = np.linalg.qr(np.random.default_rng(13).standard_normal((z.shape[1], size), dtype=np.float32))[0]
+    for _ in range(rounds):
+        v = np.linalg.qr(z.T @ np.linalg.qr(z @ v)[0])[0]
+    _, values, turn = np.linalg.svd(z @ v, full_matrices=False)
+    keep = int((values[:dims] > 1e-3).sum())
+    return np.ascontiguousarray((v @ turn.T)[:, :keep], np.float32)
 
 
 def vote(x: np.ndarray, model, neighbours: int = NEIGHBOURS) -> np.ndarray:
@@ -110,7 +121,9 @@ def sample_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_pydict({"key": b.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary()), "label": b.column(2)})
 
     got = sorted(sample.mapInArrow(run, "key long, x binary, label int").collect(), key=lambda r: (r["key"], r["x"]))
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float16).reshape(len(got), WORDS + SHAPES).astype(np.float32)
+    x = np.empty((len(got), WORDS + SHAPES), np.float32)
+    for k, r in enumerate(got):
+        x[k] = np.frombuffer(r["x"], np.float16)
     return x, np.array([r["label"] for r in got], np.int64)
 
 
