@@ -9,7 +9,8 @@ label is an entity with probability ``SURE`` at least, a similar token bears tha
 overlaps.
 
 Weights are trained by pseudo-likelihood, with the base spans of a bounded sample of documents
-(``TRAIN_DOCS``) as labels and a third of the shape features hidden, so that the edges' weights are learnt.
+(``TRAIN_DOCS``), passed on to similar tokens, as labels and a third of the shape features hidden, so that the
+edges' weights are learnt.
 
 Edge cases: null and empty texts have no span; repeated rows and ids are treated alike; without documents to
 learn from nothing is added; an empty table gives an empty result. Only id and text are read.
@@ -161,6 +162,16 @@ def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]):
     return where, x, np.array(label, np.int64), pairs(chain), pairs(skip)
 
 
+def shared_labels(y: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Labels for training: what a pattern finds in one place is that entity in its similar places too."""
+    y = y.copy()
+    for edges in (skip, skip[::-1, ::-1]):
+        for a, b in edges.tolist():
+            if not y[b]:
+                y[b] = y[a]
+    return y
+
+
 def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
     """(unary weights, chain weights, skip weights) by pseudo-likelihood with Adam; symmetric edge weights."""
     if not len(x):
@@ -261,6 +272,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS):
             ts = b.column(0).to_pylist()
             for t, h in zip(ts, b.column(1).to_pylist(), strict=True):
                 _, x, y, chain, skip = graph([t], [base_spans(t)])
+                y = shared_labels(y, skip)
                 if len(x):
                     yield pa.RecordBatch.from_pydict({"h": [h], "x": pa.array([np.packbits(x.astype(np.uint8)).tobytes()], pa.binary()), "y": pa.array([y.astype("<i2").tobytes()], pa.binary()), "c": pa.array([chain.astype("<i4").tobytes()], pa.binary()), "s": pa.array([skip.astype("<i4").tobytes()], pa.binary())})
 

@@ -103,7 +103,7 @@ class Encoder:
     with ``pattern`` None, the pre-tokenizer's pattern, all are.
     """
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self, path: str, pattern: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

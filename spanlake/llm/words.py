@@ -14,7 +14,7 @@ FIND_WORDS = re.compile(r"\w+").findall
 class WordHashes(dict):
     """word -> 32-bit hash; forgets all when it has grown to ``kept`` words."""
 
-    kept = 500_000
+    kept = 250_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.kept:
