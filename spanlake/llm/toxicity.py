@@ -106,7 +106,8 @@ def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, int]]:
             yield pa.RecordBatch.from_pydict({"key": b.column(0), "at": pa.array([np.unique(p).astype("<u4").tobytes() for p in parts], pa.binary()), "label": b.column(2)})
 
     got = sample.mapInArrow(run, "key long, at binary, label int").collect()
-    return [(np.frombuffer(r["at"], "<u4").astype(np.int64), r["label"]) for r in sorted(got, key=lambda r: (r["key"], r["at"]))]
+    # Views of the bytes that were received: wider copies would double the driver's share.
+    return [(np.frombuffer(r["at"], "<u4"), r["label"]) for r in sorted(got, key=lambda r: (r["key"], r["at"]))]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
