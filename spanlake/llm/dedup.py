@@ -1,11 +1,18 @@
 """Near-dedup by Order MinHash (Marcais et al. 2019) with verification by banded alignment.
 
-A document is its sequence of lower-case words. Its k-mers are runs of ``K`` = 5 words, labelled with their
-occurrence number. For each of ``SKETCHES`` hash functions the two labelled k-mers with the least hashes
-are taken and kept in the order of the text, so equal sketches speak for equal k-mers in equal order, that is
-for edit similarity. Documents with a common sketch are candidates. Two documents are linked if the
-edit distance of their word sequences, found by banded alignment, is at most a fifth of the longer one
-(similarity 0.8 or more). A class is a connected component of links; its id is the least doc_id in it.
+A document is its sequence of lower-case words. Two documents are linked if the edit distance of their word
+sequences, found by banded alignment, is at most a fifth of the longer one (similarity 0.8 or more). A class is
+a connected component of links; its id is the least doc_id in it. Candidates share a bucket of one of two kinds:
+
+1. Order MinHash. K-mers are runs of ``K`` = 3 words, labelled with their occurrence number. For each of
+   ``SKETCHES`` hash functions the two labelled k-mers with the least hashes are taken and kept in the order of
+   the text, so equal sketches speak for equal k-mers in equal order, that is for edit similarity. The number
+   of sketches is set so that a pair of ``SHORT`` + 1 words at similarity 0.8 exactly, with substituted words at
+   random places, shares one with a chance of ``RECALL``. ``K`` is under five, so that a pair whose words are
+   edited at even distances of five keeps common k-mers.
+2. Blocks, where the longer text has at most ``SHORT`` words; this loses nothing. k edits leave one of k + 1
+   disjoint blocks of the longer text intact, and for one of those, number i from the left, there are just i edits
+   before it and at most k - i behind it (Li et al. 2011), which bounds its place in the shorter text.
 
 Documents with the same words are one node from the start; a node is named by 64 bits of a hash of its words
 (two texts of n share a name with a chance of n * n / 2**65). Links are looked for in two rounds: each node is
@@ -16,7 +23,7 @@ aligned there, unless links found before join them already. So no bucket is capp
 between components is lost, and a bucket of true copies costs one alignment for each of them.
 
 Edge cases: null, empty and wordless texts link with nothing, each is its own class; documents of fewer than
-five words are one k-mer and so link only with equal ones; null ids never name a class unless all in it are
+four words may have no edit and so link only with equal ones; null ids never name a class unless all in it are
 null; repeated rows are copies of each other; an empty table gives an empty result. Only id and text are read.
 """
 
@@ -25,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +44,7 @@ from .common import arrow_batches, drop_table, table
 from .components import connected
 from .words import WordHashes, hashed_words, mix64
 
-K, SKETCHES, SIMILARITY = 5, 24, 0.8
+K, SIMILARITY, RECALL, SHORT = 3, 0.8, 0.99, 40
 #: Bins of the histograms of words and of word pairs.
 BINS, PAIR_BINS = 512, 2048
 
@@ -55,6 +63,29 @@ def labelled_kmers(h: np.ndarray) -> np.ndarray:
     return mix64(x + number * np.uint64(0x9E3779B97F4A7C15))
 
 
+def limit_of(n):
+    return n * (1 - SIMILARITY) + 1e-9
+
+
+def sketches_for(n: int, trials: int = 4000) -> int:
+    """Sketches that texts of n words need to reach RECALL: a sketch agrees about as often as two k-mers drawn from those of
+    both texts are common to both."""
+    rng = np.random.default_rng(17)
+    places = rng.random((trials, n)).argsort(axis=1)[:, : math.floor(limit_of(n))]
+    kept = np.ones((trials, n), bool)
+    np.put_along_axis(kept, places, False, axis=1)
+    runs = n - K + 1
+    common = np.lib.stride_tricks.sliding_window_view(kept, K, axis=1).all(axis=2).sum(axis=1)
+    alike = common * np.maximum(common - 1, 0) / ((2 * runs - common) * (2 * runs - common - 1))
+    m = 1
+    while (1 - (1 - alike) ** m).mean() < RECALL:
+        m += 1
+    return m
+
+
+SKETCHES = sketches_for(SHORT + 1)
+#: Texts with fewer words than this link with short texts only.
+SKETCHED = SHORT + 1 - math.floor(limit_of(SHORT + 1))
 SEEDS = np.random.default_rng(41).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 
 
@@ -75,8 +106,46 @@ def sketch(h: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
     return out
 
 
+@cache
+def blocks_for(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, words, name) of the blocks that a text of n words holds as the longer text of a pair, and of the parts of it in which
+    it may hold a block of a longer one."""
+    found = set()
+    for longer in range(n, SHORT + 1):
+        k = math.floor(limit_of(longer))
+        if not k or longer - n > k:
+            continue
+        ends = [longer * b // (k + 1) for b in range(k + 2)]
+        for i, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
+            shifts = [d for d in range(-i, i + 1) if abs(d + longer - n) <= k - i]
+            found |= {(a + d, z - a, longer * 64 + i) for d in shifts if 0 <= a + d and z + d <= n}
+            if longer == n:
+                found.add((a, z - a, longer * 64 + i))
+    place, size, name = np.array(sorted(found), np.int64).reshape(-1, 3).T
+    return place, size, name.astype(np.uint64)
+
+
+def block_buckets(h: np.ndarray) -> np.ndarray:
+    place, size, name = blocks_for(len(h))
+    out = name * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(int(size.max(initial=0))):
+        inside = k < size
+        out[inside] = mix64(out[inside] + h[place[inside] + k] + np.uint64(k + 1))
+    return out
+
+
+def buckets(h: np.ndarray) -> np.ndarray:
+    """The different buckets of a word sequence, sorted."""
+    out = [np.zeros(0, np.uint64)]
+    if len(h) >= SKETCHED:
+        out.append(mix64(sketch(h) + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    if len(h) <= SHORT:
+        out.append(block_buckets(h))
+    return np.unique(np.concatenate(out))
+
+
 def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, h (hash of the text), key (hash of the words; null: no word), n, words (32 bits each) and sketch of every row, written."""
+    """id, h (hash of the text), key (hash of the words; null: no word), n, words (32 bits each) and buckets of every row, written."""
 
     def run(batches):
         import pyarrow as pa
@@ -87,15 +156,11 @@ def words_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             parts = np.split(h, np.cumsum(n)[:-1]) if len(n) else []
             packed = [p.astype("<u4").tobytes() for p in parts]
             keys = [int.from_bytes(hashlib.md5(p).digest()[:8], "little", signed=True) if p else None for p in packed]
-            sketches = [sketch(p).astype(np.int64) if len(p) else None for p in parts]
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "h": b.column(2), "key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32()), "words": pa.array(packed, pa.binary()), "sketch": pa.array(sketches, pa.list_(pa.int64()))})
+            places = [buckets(p).view(np.int64) if len(p) else None for p in parts]
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "h": b.column(2), "key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int32()), "words": pa.array(packed, pa.binary()), "buckets": pa.array(places, pa.list_(pa.int64()))})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(2), text_col).alias("h"))
-    return table(rows.mapInArrow(run, "id long, h long, key long, n int, words binary, sketch array<long>"), "omh-words")
-
-
-def limit_of(n):
-    return n * (1 - SIMILARITY) + 1e-9
+    return table(rows.mapInArrow(run, "id long, h long, key long, n int, words binary, buckets array<long>"), "omh-words")
 
 
 def aligned(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -125,11 +190,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrow_batches(docs.sparkSession, 500)
     rows = words_of(docs, id_col, text_col)
     known = rows.where("key is not null")
-    nodes = table(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch")), "omh-nodes")
-    bands = nodes.select("key", "n", F.posexplode("sketch").alias("band", "value")).select("key", "n", F.col("band").cast("byte").alias("band"), F.xxhash64("band", "value").alias("bucket"))
-    # A bucket holds a node once, so the hottest has one in SKETCHES of these rows; adaptive execution splits it.
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("lead")).where("rows > 1")
-    meet = table(bands.join(shared, "bucket"), "omh-meet")
+    nodes = table(known.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("n").alias("n"), F.any_value("buckets").alias("buckets")), "omh-nodes")
+    placed = nodes.select("key", "n", F.explode("buckets").alias("bucket"))
+    # A bucket holds a node once, so the hottest has at most a row of each node; adaptive execution splits it.
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("lead")).where("rows > 1")
+    meet = table(placed.join(shared, "bucket"), "omh-meet")
     # The words of nodes that share a bucket, one copy of each.
     words = known.join(meet.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("words").alias("words"))
     words = table(words, "omh-meeting-words")
@@ -140,7 +205,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     jump = first.select(F.col("a").alias("b"), F.col("b").alias("far"))
     labels = first.join(jump, "b", "left").select(F.col("a").alias("key"), F.coalesce("far", "b").alias("component"))
     labelled = meet.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    labelled = table(labelled.select("bucket", "band", "key", "n", "component"), "omh-labelled")
+    labelled = table(labelled.select("bucket", "key", "n", "component"), "omh-labelled")
     split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
     rest = labelled.join(split.select("bucket", "rows"), "bucket").join(words, "key")
     links = first.unionByName(table(between(rest), "omh-more-links"))
@@ -197,7 +262,7 @@ def new_links(unit: dict) -> Iterator[tuple[int, int]]:
     if not len(i):
         return
     h = [np.frombuffer(w, "<u4").astype(np.uint64) for w in words]
-    sketches = {k: sketch(h[k]) for k in np.unique(np.concatenate([i, j])).tolist()}
+    places = {k: buckets(h[k]) for k in np.unique(np.concatenate([i, j])).tolist()}
     top = list(range(int(c.max()) + 1))
 
     def root(x: int) -> int:
@@ -205,18 +270,18 @@ def new_links(unit: dict) -> Iterator[tuple[int, int]]:
             top[x] = x = top[top[x]]
         return x
 
-    band = unit["band"][0]
+    bucket = np.int64(unit["bucket"][0]).view(np.uint64)
     for a, b, k in zip(i.tolist(), j.tolist(), edits.tolist(), strict=True):
         x, y = root(c[a]), root(c[b])
         # A pair that meets in several buckets is aligned in the first of them.
-        if x != y and int((sketches[a] == sketches[b]).argmax()) == band and edit_distance(h[a].view(np.int64), h[b].view(np.int64), k) is not None:
+        if x != y and np.intersect1d(places[a], places[b], assume_unique=True)[0] == bucket and edit_distance(h[a].view(np.int64), h[b].view(np.int64), k) is not None:
             top[max(x, y)] = min(x, y)
             yield int(used[a]), int(used[b])
 
 
 def between(rows: DataFrame) -> DataFrame:
     """Links a, b between nodes of a bucket whose labels differ."""
-    names = ["block", "alone", "band", "key", "component", "n", "words"]
+    names = ["block", "alone", "bucket", "key", "component", "n", "words"]
     dealt = deal(rows, ["bucket"], "rows", "key").select("unit", *names)
 
     def run(batches):

@@ -79,6 +79,47 @@ def test_near_classes_of_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 7
 
 
+def changed(rng, words, share, evenly=False):
+    """A sequence with a share of its words replaced by new ones."""
+    w, edits = words.copy(), int(len(words) * share + 1e-9)
+    at = np.arange(edits) * len(w) // edits if evenly else rng.choice(len(w), edits, replace=False)
+    w[at] = rng.integers(1 << 33, 1 << 40, edits).astype(np.uint64)
+    return w
+
+
+def shared_bucket(a, b):
+    return len(np.intersect1d(dedup.buckets(a), dedup.buckets(b))) > 0
+
+
+def test_short_texts_with_edits_always_meet():
+    rng = np.random.default_rng(4)
+    for n in range(5, dedup.SHORT + 1):
+        for _ in range(40):
+            a, edits = rng.integers(1, 1 << 32, n).astype(np.uint64), n // 5
+            b = a.tolist()
+            for k in range(edits):
+                p, kind = int(rng.integers(len(b))), rng.integers(3)
+                b[p : p + (kind != 1)] = [] if kind == 2 and len(b) > n - edits else [(1 << 33) + k]
+            b = np.array(b, np.uint64)
+            if len(b) > dedup.SHORT or len(a) == len(b) and (a == b).all() or edits > max(len(a), len(b)) // 5:
+                continue
+            assert shared_bucket(a, b), (n, b)
+
+
+@pytest.mark.parametrize("n", [41, 50, 100, 300])
+def test_recall_at_the_threshold(n):
+    rng = np.random.default_rng(n)
+    pairs = [(a, changed(rng, a, 0.2)) for a in rng.integers(1, 1 << 32, (400, n)).astype(np.uint64)]
+    assert np.mean([shared_bucket(a, b) for a, b in pairs]) >= 0.97
+
+
+def test_near_classes_of_short_texts(spark):
+    base = [f"x{k}" for k in range(10)]
+    rows = [(1, " ".join(base), "s"), (2, " ".join([*base[:5], "new", *base[6:]]), "s"), (3, "a b c d e f", "s"), (4, "a b c z e f", "s"), (5, "p q r s t", "s"), (6, "p q z s y", "s")]
+    got = {r["doc_id"]: r["class_id"] for r in dedup.near_classes(odd_docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
 # 2. Token files.
 
 
