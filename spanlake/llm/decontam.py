@@ -8,7 +8,8 @@ within k = floor(n / 5) edits of it (similarity 0.8 or more).
 2. Window and item are embedded by CGK random walks (a walk steps on in the word sequence by a random bit for
    each step and symbol, and writes the symbol it stands at), which turns few edits into a small Hamming
    distance. ``tables`` samples of ``BITS`` places each are compared; a window is a candidate if one agrees.
-   The number of tables is set from the items themselves, edited at random k times, to reach ``RECALL``.
+   Agreement falls with length, so the number of tables is set for each class of like lengths, from all its items
+   edited at random k times, to reach ``RECALL``.
 3. The exact semi-global edit distance of the item to the text around a candidate decides.
 
 Items are a query set: they go to all documents in blocks of ``ITEMS``, without a shuffle of documents.
@@ -31,6 +32,8 @@ from .common import arrow_batches
 from .words import WordHashes, hashed_words, mix64
 
 SIMILARITY, RECALL, WALKS, BITS, ITEMS = 0.8, 0.995, 4, 2, 20_000
+#: Least number of edited items that the tables of a class are set from, and of tables where edits are allowed.
+TRIALS, TABLES = 64, 512
 
 
 def embed(rows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
@@ -62,6 +65,8 @@ class Items:
         self.words = [h[ends[k] - n[k] : ends[k]] for k in keep]
         self.edits = [math.floor(len(w) * (1 - SIMILARITY) + 1e-9) for w in self.words]
         self.tables = self._tables()
+        #: By number of tables: places and signs of the items that have so many; ``row`` is an item's row there.
+        self.row, self.groups = np.zeros(len(self.words), np.int64), {}
         #: By length g of a seed: sorted hashes, and for each the (item, offset) pairs.
         seeds: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for i, (w, k) in enumerate(zip(self.words, self.edits, strict=True)):
@@ -75,31 +80,56 @@ class Items:
         for g, (known, _) in self.seeds.items():
             self.filters[g] = np.zeros(1 << 22, bool)
             self.filters[g][(known >> np.uint64(42)).astype(np.int64)] = True
-        self.places = np.array([samples(len(w), self.tables) for w in self.words]).reshape(-1, self.tables, BITS)
         n = np.array([len(w) for w in self.words], np.int64)
         padded = np.zeros((len(n), max([1, *n])), np.uint64)
         for i, w in enumerate(self.words):
             padded[i, : len(w)] = w
-        self.signs = [sampled(padded[i : i + 1], n[i : i + 1], self.places[i : i + 1])[0] for i in range(len(n))]
-
-    def _tables(self) -> int:
-        """Tables that the items need, each edited at random as often as it may be."""
-        rng = np.random.default_rng(9)
-        agree = []
-        for w, k in list(zip(self.words, self.edits, strict=True))[:200]:
-            x = w.tolist()
-            for _ in range(k):
-                p, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
-                x[p : p + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 32))]
-            both = np.zeros((2, max(len(w), len(x))), np.uint64)
-            both[0, : len(w)], both[1, : len(x)] = w, x
-            n = np.array([len(w), len(x)])
-            e = [embed(both, n, walk, 2 * len(w)) for walk in range(WALKS)]
-            agree.append(np.mean([(y[0] == y[1]).mean() for y in e]))
-        for tables in (8, 16, 32, 64, 128, 256):
-            if not agree or np.mean([1 - (1 - a**BITS) ** tables for a in agree]) >= RECALL:
-                return tables
-        return 512
+        for t in np.unique(self.tables).tolist():
+            of = np.flatnonzero(self.tables == t)
+            self.row[of] = np.arange(len(of))
+            places = np.array([samples(int(x), t) for x in n[of]])
+            signs = [sampled(padded[i : i + 1], n[i : i + 1], places[r : r + 1])[0] for r, i in enumerate(of.tolist())]
+            self.groups[t] = (places, np.array(signs))
+
+    def _tables(self) -> np.ndarray:
+        """Tables that each item needs: those of its class of like lengths (within a fifth), whose items are all edited at random as
+        often as they may be."""
+        classes: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words):
+            classes.setdefault(int(4 * math.log2(len(w))), []).append(i)
+        out = np.zeros(len(self.words), np.int64)
+        for name, of in sorted(classes.items()):
+            rng = np.random.default_rng([9, name])
+            tried = of * math.ceil(TRIALS / len(of))
+            agree = np.concatenate([agreement([self.words[i] for i in tried[a : a + 256]], [self.edits[i] for i in tried[a : a + 256]], rng) for a in range(0, len(tried), 256)])
+            # Without edits one table would do. More tables than there are different samples find nothing new.
+            tables, most = TABLES if any(self.edits[i] for i in of) else 8, WALKS * (2 * min(len(self.words[i]) for i in of)) ** BITS
+            while tables < most and np.mean(1 - (1 - agree**BITS) ** tables) < RECALL:
+                tables *= 2
+            out[of] = tables
+        return out
+
+
+def agreement(words: list[np.ndarray], edits: list[int], rng: np.random.Generator) -> np.ndarray:
+    """Share of the places of the walks at which each word sequence agrees with itself after so many random edits."""
+    other = []
+    for w, k in zip(words, edits, strict=True):
+        x = w.tolist()
+        for _ in range(k):
+            p, kind = int(rng.integers(0, len(x))), int(rng.integers(0, 3))
+            x[p : p + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 32))]
+        other.append(np.array(x, np.uint64))
+    n = np.array([len(x) for x in [*words, *other]], np.int64)
+    both = np.zeros((len(n), int(n.max())), np.uint64)
+    for i, x in enumerate([*words, *other]):
+        both[i, : len(x)] = x
+    steps = 2 * n[: len(words)]
+    inside = np.arange(int(steps.max())) < steps[:, None]
+    total = np.zeros(len(words))
+    for walk in range(WALKS):
+        e = embed(both, n, walk, inside.shape[1])
+        total += ((e[: len(words)] == e[len(words) :]) & inside).sum(axis=1) / steps
+    return total / WALKS
 
 
 def gram_hashes(h: np.ndarray, g: int) -> np.ndarray:
@@ -148,13 +178,14 @@ def leaks(texts: list[str | None], items: Items, hashes: WordHashes) -> list[tup
     lengths = np.minimum(size[i], stop - s)
     ok = lengths >= size[i] - edits[i]
     i, d, s, lengths = i[ok], d[ok], s[ok], lengths[ok]
-    signs = np.array(items.signs)
     near = np.zeros(len(i), bool)
-    for a in range(0, len(i), 2048):
-        part = slice(a, a + 2048)
-        wide = int(size[i[part]].max())
-        windows = h[np.minimum(s[part, None] + np.arange(wide), len(h) - 1)]
-        near[part] = (sampled(windows, lengths[part], items.places[i[part]]) == signs[i[part]]).any(axis=1)
+    for t, (places, signs) in items.groups.items():
+        of, step = np.flatnonzero(items.tables[i] == t), min(2048, max(64, (2048 * 256) // t))
+        for a in range(0, len(of), step):
+            part = of[a : a + step]
+            wide, row = int(size[i[part]].max()), items.row[i[part]]
+            windows = h[np.minimum(s[part, None] + np.arange(wide), len(h) - 1)]
+            near[part] = (sampled(windows, lengths[part], places[row]) == signs[row]).any(axis=1)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     looked: dict[tuple[int, int], int] = {}
     for x, y, at in zip(i[near].tolist(), d[near].tolist(), s[near].tolist(), strict=True):

@@ -225,6 +225,21 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 == decontam.find_leaks(docs.limit(0), bench).count()
 
 
+def test_short_first_items_do_not_set_the_search_for_long_ones():
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(1, 1 << 40, n)]
+    long = [word(300) for _ in range(12)]
+    texts = [" ".join(word(4)) for _ in range(200)] + [" ".join(w) for w in long]
+    items, docs = decontam.Items(list(range(len(texts))), texts), []
+    for w in long:
+        w = list(w)
+        for p in rng.choice(300, 60, replace=False).tolist():
+            w[p] = "zz"
+        docs.append(" ".join(w))
+    found = {(d, items.ids[i]) for d, i, *_ in decontam.leaks(docs, items, decontam.WordHashes())}
+    assert found == {(k, 200 + k) for k in range(12)}
+
+
 # 5. Lines, 6. WARC, 9. Mixing: SQL.
 
 
