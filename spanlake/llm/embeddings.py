@@ -1,7 +1,8 @@
 """Near-dedup of embeddings by cross-polytope hashing.
 
 A hash of a vector is the nearest signed axis after three rounds of random signs and fast Hadamard transform.
-``hashes`` of them name a bucket, in ``tables`` tables; each vector also visits the bucket in which its least
+``hashes`` of them name a bucket, in ``tables`` tables, whose number follows from that of the hashes so that a pair
+at the threshold meets with a chance of ``RECALL``; each vector also visits the bucket in which its least
 sure hash is replaced by the second nearest axis (multiprobe). All pairs of a bucket are verified by their cosine in double precision. A pair that meets in several buckets counts in the first.
 
 Identical vectors are one class with a weight before hashing, so copies never meet. Within a bucket pairs are
@@ -16,6 +17,7 @@ gives an empty result. Other columns are never read.
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from .common import arrow_batches, small, table
 from .components import connected
 from .words import mix64
 
-TABLES = 12
+#: The least number of tables, and the chance that a pair at the threshold meets in one of them.
+TABLES, RECALL = 12, 0.999
 #: Rows that a bucket should have at most if vectors were random.
 RANDOM_ROWS = 1.0
 
@@ -93,7 +96,32 @@ def number_of_hashes(rows: int, dim: int) -> int:
     return max(1, math.ceil(math.log(max(1.0, rows / RANDOM_ROWS)) / math.log(axes)))
 
 
-def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int = TABLES, hashes: int | None = None) -> DataFrame:
+@cache
+def tables_for(size: int, hashes: int, threshold: float) -> int:
+    """Tables that vectors of ``size`` axes need, from simulated pairs at the threshold under random rotations."""
+    pairs = max(256, min(4000, (1 << 22) // size))
+    rng = np.random.default_rng([23, size, hashes])
+    best, second, gap = np.zeros((3, 2, pairs, hashes))
+    for k in range(hashes):
+        x, z = rng.normal(size=(2, pairs, size))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        for v, y in enumerate((x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * z)):
+            order = np.argsort(-np.abs(y), axis=1)[:, :2]
+            top = np.take_along_axis(y, order, 1)
+            axis = order + size * (top < 0)
+            best[v, :, k], second[v, :, k], gap[v, :, k] = axis[:, 0], axis[:, 1], np.abs(top[:, 0]) - np.abs(top[:, 1])
+    visit = np.where(np.arange(hashes) == gap.argmin(axis=2)[:, :, None], second, best)
+    meet = np.zeros(pairs, bool)
+    for a in (best[0], visit[0]):
+        for b in (best[1], visit[1]):
+            meet |= (a == b).all(axis=1)
+    chance = min(max(meet.mean(), 1 / pairs), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - chance)))
+
+
+def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int | None = None, hashes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     arrow_batches(spark)
@@ -102,8 +130,14 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     key = F.when(F.coalesce(good, F.lit(False)), F.md5(F.to_json(F.struct(v.alias("v")))))
     rows = table(vectors.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.when(key.isNotNull(), v).alias("v")), "vectors")
     classes = table(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v")), "vector-classes")
-    top = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    bits = F.length(F.bin(F.size("v") - 1))
+    top = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.collect_set(bits)).first()
     k = hashes or number_of_hashes(top[0], top[1] or 1)
+    #: By number of axes.
+    needed = {1 << b: tables or tables_for(1 << b, k, threshold) for b in top[2]}
+
+    def signs_of(dim: int) -> np.ndarray:
+        return rotations(dim, needed[1 << max(1, (dim - 1).bit_length())] * k)
 
     def places(batches):
         import pyarrow as pa
@@ -112,7 +146,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
             keys, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
             for dim in sorted({len(x) for x in vs}):
                 at = [i for i, x in enumerate(vs) if len(x) == dim]
-                home, visit = buckets(unit_rows([vs[i] for i in at]), rotations(dim, tables * k), k)
+                home, visit = buckets(unit_rows([vs[i] for i in at]), signs_of(dim), k)
                 both = np.concatenate([home, visit], axis=1)
                 names = [keys[i] for i in at]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(both.ravel() + dim, pa.int64()), "key": pa.array(np.repeat(names, both.shape[1]), pa.string())})
@@ -134,7 +168,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
             if not len(i):
                 continue
             bucket = u["bucket"][0]
-            home, visit = buckets(x, rotations(x.shape[1], tables * k), k)
+            home, visit = buckets(x, signs_of(x.shape[1]), k)
             home, visit = home + x.shape[1], visit + x.shape[1]
             first = owner(home, visit, i, j) == bucket
             i, j = i[first], j[first]

@@ -356,6 +356,17 @@ def test_near_vectors(spark, sf_dir):
     assert embeddings.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_recall_at_the_threshold_with_many_hashes(spark):
+    rng, rows = np.random.default_rng(8), []
+    for k in range(100):
+        x, z = rng.normal(size=(2, 64))
+        x /= np.linalg.norm(x)
+        z -= (z @ x) * x
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (0.9501 * x + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z)).tolist())]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), hashes=5).collect()
+    assert sum(r["n_links"] for r in got) >= 0.98 * 200
+
+
 # The pipeline.
 
 
