@@ -105,6 +105,12 @@ def nodes_of(text: str) -> list[tuple[int, int, str]]:
     return out + words[w:]
 
 
+def has_similar(text: str) -> bool:
+    """Whether two candidate tokens share a similarity key."""
+    keys = [key for _, _, key in nodes_of(text) if key]
+    return len(keys) > len(set(keys))
+
+
 def features(text: str, start: int, end: int) -> list[int]:
     """Active features: shape, then hashed words before and after."""
     word = text[start:end]
@@ -239,8 +245,8 @@ def all_spans(texts: list[str], model) -> list[tuple[list, list]]:
     bases = [base_spans(t) if t else [] for t in texts]
     added: list[list] = [[] for _ in texts]
     if model is not None:
-        # Only documents with a base span can pass a label on.
-        held = [d for d, base in enumerate(bases) if base]
+        # A span is added only where a similar token bears its label, so documents without similar tokens get none.
+        held = [d for d, text in enumerate(texts) if text and has_similar(text)]
         where, x, observed, chain, skip = graph([texts[d] for d in held], [bases[d] for d in held])
         if len(skip):
             p = marginals(x, chain, skip, model, observed)

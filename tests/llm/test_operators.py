@@ -190,6 +190,14 @@ def test_private_data_of_odd_rows(spark):
     assert len(got) == 9 and all(r["spans"] == "" for r in got)
 
 
+def test_similar_tokens_back_each_other_without_a_base_span():
+    unary, no = np.zeros((pii.WIDTH, pii.K)), np.zeros((pii.K, pii.K))
+    unary[0, 4] = 5
+    text = "call 5551234567 now, I said 5551234567"
+    (base, added), (held, same), (_, none) = pii.all_spans([text, text + " or a@b.cc", "call 5551234567 now"], (unary, no, no))
+    assert not base and held and added == same and len(added) == 2 and not none
+
+
 # 4. Decontamination.
 
 
