@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
 import math
-import re
+from functools import cache
 
 import regex
 
-
-class Xorshift:
-    def __init__(self, seed: int) -> None:
-        self.x = seed
-
-    def __call__(self, below: int) -> int:
-        m = (1 << 64) - 1
-        self.x ^= (self.x << 13) & m
-        self.x ^= self.x >> 7
-        self.x ^= (self.x << 17) & m
-        return self.x % below
+WORD_CHARACTER = regex.compile(r"[\p{Alphabetic}\p{N}]")
 
 
 def tokens(text: str) -> list[str]:
-    return [t.lower() for t in regex.split(r"[^\p{Alphabetic}\p{N}]+", text) if t]
+    groups = itertools.groupby(text, key=lambda c: WORD_CHARACTER.match(c) is not None)
+    return ["".join(g).lower() for inside, g in groups if inside]
 
 
 def like(pattern: str, text: str) -> bool:
-    return re.fullmatch("".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in pattern), text, re.DOTALL) is not None
+    @cache
+    def rest(p: int, t: int) -> bool:
+        if p == len(pattern):
+            return t == len(text)
+        if pattern[p] == "%":
+            return rest(p + 1, t) or (t < len(text) and rest(p, t + 1))
+        return t < len(text) and pattern[p] in ("_", text[t]) and rest(p + 1, t + 1)
+
+    return rest(0, 0)
 
 
 def resolve(writes: list[tuple]) -> dict[str, dict]:

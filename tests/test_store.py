@@ -32,8 +32,8 @@ def same(store, want, specs=None):
 
 @pytest.mark.parametrize("ops", [True, False])
 def test_reads_survive_upkeep(spark, tmp_path, ops):
-    cfg = Config(compact_min_segments=2, max_segment_records=40, hot_ttl=None, promote_labels=("model",), promote_metrics=("latency_ms",))
-    store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(400, 60, 0x5EED1234, ops)
+    cfg = Config(compact_min_segments=2, max_segment_records=40, hot_ttl=None, promote_labels=("grade",), promote_metrics=("hours",))
+    store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(400, 21, ops)
     for a in range(0, 400, 100):
         apply(store, writes[a : a + 100])
     want = oracle.resolve(writes)
@@ -53,12 +53,12 @@ def test_reads_survive_upkeep(spark, tmp_path, ops):
 
 
 def test_plain_store_skips_the_fold(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/s", Config(promote_labels=("model",)))
-    apply(store, history(200, 50, ops=False))
+    store = Store(spark, f"file://{tmp_path}/s", Config(promote_labels=("grade",)))
+    apply(store, history(200, ops=False))
     m.compact_all(store, 0)
-    spec = QuerySpec(labels={"model": "gpt"})
+    spec = QuerySpec(labels={"grade": "a"})
     plan = store.state(spec).where(spec.condition(store.state(spec)))._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "EqualTo(l_model,gpt)" in plan
+    assert "Window" not in plan and "EqualTo(l_grade,a)" in plan
 
 
 def test_a_pruned_file_still_hides(spark, tmp_path):
@@ -125,7 +125,7 @@ def test_groom_drops_whole_files(spark, tmp_path):
 
 def test_tiers(spark, tmp_path):
     cfg = Config(hot_ttl=HOUR, remote_ttl=2 * HOUR, remote_root=f"file://{tmp_path}/far")
-    store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(100, 30, ops=False)
+    store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(100, ops=False)
     apply(store, writes)
     later = store.snapshot().zones[0].created + 10 * HOUR
     for name in ("cold", "remote"):
