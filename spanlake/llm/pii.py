@@ -2,15 +2,21 @@
 
 Patterns find the base spans. The field runs over the document's candidate tokens (runs of digits with their
 separators, and words with an @; all else is fixed to "no entity"): a chain links neighbours, and skip edges
-link each token to the last one before it with a similar key (the same last eight digits, the same dotted
-number, the same address without regard to case). Loopy sum-product message passing gives marginals with the
-base spans' labels observed, so what is an entity in one place becomes one in its other places. A span is added where the most likely
-label is an entity with probability ``SURE`` at least, a similar token bears that label and no base span
-overlaps.
-
-Weights are trained by pseudo-likelihood, with the base spans of a bounded sample of documents
-(``TRAIN_DOCS``), passed on to similar tokens, as labels and a third of the shape features hidden, so that the
-edges' weights are learnt.
+link each token to the last ``FAN`` ones before it that are the same (the last eight digits, the dotted number, the
+address without regard to case) and to the last ``FAN`` that are similar (all digits but the last two, the same
+network of a dotted number, the same part before an @), with potentials of their own. So all tokens of a group of
+like ones are connected, and none is joined with all others. Loopy sum-product message passing gives marginals with
+the base spans' labels observed, so what is an entity in one place becomes one in its other places, also where it is
+written in a way that no pattern takes. A span is added where the most likely label is an entity with probability
+``SURE`` at least, a like token bears that label and no base span overlaps.
+
+Weights are trained by pseudo-likelihood, with the base spans of a bounded sample of documents (``TRAIN_DOCS``
+different texts with at most ``TRAIN_NODES`` candidate tokens each), passed on to tokens that are the same or similar, as labels
+and a third of the shape features hidden, so that the edges' weights are learnt. The sample is what lies below a
+threshold of a hash of the text, set from the count, so it is there at any size of table.
+
+Memory: documents go through the field in groups of at most ``NODES`` tokens, a document with more alone; tokens
+whose stretch of neighbours holds no like ones are left out. Features are kept as lists of places.
 
 Edge cases: null and empty texts have no span; repeated rows and ids are treated alike; without documents to
 learn from nothing is added; an empty table gives an empty result. Only id and text are read.
@@ -19,6 +25,7 @@ learn from nothing is added; an empty table gives an empty result. Only id and t
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -29,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import arrow_batches
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_DOCS, SURE = 2000, 0.6
+TRAIN_DOCS, TRAIN_NODES, SURE = 2000, 300, 0.6
+#: Like tokens before it that a token is linked with, of either sort; tokens of one run of the field; steps of the hash.
+FAN, NODES, STEPS = 2, 20_000, 1 << 53
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # The same matches as without the look-behind and the possessive marks, in linear time on long runs of digits.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -79,8 +88,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def nodes_of(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, similarity key or "") of candidate tokens, in order."""
+def nodes_of(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, key of the same tokens or "", key of similar tokens or "") of candidate tokens, in order."""
     words, at, free = [], text.find("@"), 0
     while at >= 0:
         start, end = at, at + 1
@@ -89,8 +98,11 @@ def nodes_of(text: str) -> list[tuple[int, int, str]]:
         while end < len(text) and not text[end].isspace() and text[end] != "@":
             end += 1
         cut = text[start:end].rstrip(".,;:!?)>]\"'")
+        start += len(cut) - len(cut.lstrip("(<[\"'"))
+        cut = text[start : start + len(cut)].rstrip(".,;:!?)>]\"'")
         if start < at < start + len(cut) - 1:
-            words.append((start, start + len(cut), cut.lower()))
+            low = cut.lower()
+            words.append((start, start + len(cut), low, low[: at - start + 1]))
             free = end
         at = text.find("@", at + 1)
     out, w = [], 0
@@ -100,17 +112,15 @@ def nodes_of(text: str) -> list[tuple[int, int, str]]:
             w += 1
         if w == len(words) or words[w][0] >= m.end():
             digits = NOT_DIGIT.sub("", m[0])
-            dotted = m[0].count(".") == 3 and len(digits) + 3 == m.end() - m.start()
-            out.append((m.start(), m.end(), "." + m[0] if dotted else digits[-8:] if len(digits) >= 8 else ""))
+            if m[0].count(".") == 3 and len(digits) + 3 == m.end() - m.start():
+                out.append((m.start(), m.end(), "." + m[0], "n" + m[0].rpartition(".")[0]))
+            elif len(digits) >= 8:
+                out.append((m.start(), m.end(), digits[-8:], f"{len(digits)}:{digits[:-2]}"))
+            else:
+                out.append((m.start(), m.end(), "", ""))
     return out + words[w:]
 
 
-def has_similar(text: str) -> bool:
-    """Whether two candidate tokens share a similarity key."""
-    keys = [key for _, _, key in nodes_of(text) if key]
-    return len(keys) > len(set(keys))
-
-
 def features(text: str, start: int, end: int) -> list[int]:
     """Active features: shape, then hashed words before and after."""
     word = text[start:end]
@@ -140,36 +150,60 @@ WIDTH = SHAPE + 2 * CONTEXT
 K = len(KINDS) + 1
 
 
-def graph(texts: list[str], bases: list[list[tuple[int, int, int]]]):
-    """All documents of a batch as one graph: nodes (doc, start, end), features, observed labels, chain and skip edges."""
-    where, on, label, chain, skip = [], [], [], [], []
-    for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
-        last: dict[str, int] = {}
-        before, b = None, 0
-        for start, end, key in nodes_of(text):
+class Graph:
+    """Candidate tokens of documents with their edges. ``on`` and ``of``: active features and the nodes they belong to."""
+
+    def __init__(self) -> None:
+        self.where: list[tuple[int, int, int]] = []
+        self.on: list[int] = []
+        self.of: list[int] = []
+        self.label: list[int] = []
+        self.edges: tuple[list, list, list] = ([], [], [])
+
+    def add(self, d: int, text: str, base: list[tuple[int, int, int]], *, every: bool = False) -> None:
+        """Document ``d``; without ``every`` only stretches of neighbours with like tokens."""
+        nodes = nodes_of(text)
+        stretch = np.cumsum([0, *[b[0] - a[1] > 40 for a, b in zip(nodes, nodes[1:], strict=False)]])[: len(nodes)].tolist()
+        like, last = [], ({}, {})
+        for k, node in enumerate(nodes):
+            seen: set[int] = set()
+            for kind in (0, 1):
+                if key := node[2 + kind]:
+                    before = last[kind].setdefault(key, [])
+                    for j in before[-FAN:]:
+                        if j not in seen:
+                            seen.add(j)
+                            like.append((kind, j, k))
+                    before.append(k)
+        if not every:
+            used = {stretch[k] for _, i, j in like for k in (i, j)}
+        at, b, before = {}, 0, None
+        for k, (start, end, _, _) in enumerate(nodes):
+            if not every and stretch[k] not in used:
+                continue
             while b < len(base) and base[b][2] <= start:
                 b += 1
             over = next((x for x in base[b : b + 4] if x[0] < end and start < x[2]), None)
-            k = len(where)
-            where.append((d, start, end))
-            on.append(features(text, start, end))
-            label.append(0 if over is None else over[1] + 1)
-            if before is not None and start - before[1] <= 40:
-                chain.append((before[0], k))
-            before = (k, end)
-            if key:
-                if key in last:
-                    skip.append((last[key], k))
-                last[key] = k
-    x = np.zeros((len(where), WIDTH), np.float32)
-    for k, f in enumerate(on):
-        x[k, f] = 1
-    pairs = lambda e: np.array(e, np.int64).reshape(-1, 2)
-    return where, x, np.array(label, np.int64), pairs(chain), pairs(skip)
+            at[k] = node = len(self.where)
+            self.where.append((d, start, end))
+            f = features(text, start, end)
+            self.on += f
+            self.of += [node] * len(f)
+            self.label.append(0 if over is None else over[1] + 1)
+            if before is not None and stretch[before] == stretch[k]:
+                self.edges[0].append((at[before], node))
+            before = k
+        for kind, i, j in like:
+            self.edges[1 + kind].append((at[i], at[j]))
+
+    def arrays(self):
+        """(active features, their nodes, labels, [chain, same, similar] edges)."""
+        pairs = [np.array(e, np.int64).reshape(-1, 2) for e in self.edges]
+        return np.array(self.on, np.int64), np.array(self.of, np.int64), np.array(self.label, np.int64), pairs
 
 
 def shared_labels(y: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """Labels for training: what a pattern finds in one place is that entity in its similar places too."""
+    """Labels for training: what a pattern finds in one place is that entity in its like places too."""
     y = y.copy()
     for edges in (skip, skip[::-1, ::-1]):
         for a, b in edges.tolist():
@@ -178,20 +212,20 @@ def shared_labels(y: np.ndarray, skip: np.ndarray) -> np.ndarray:
     return y
 
 
-def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
-    """(unary weights, chain weights, skip weights) by pseudo-likelihood with Adam; symmetric edge weights."""
-    if not len(x):
+def train(on: np.ndarray, of: np.ndarray, y: np.ndarray, edges: list[np.ndarray], steps: int = 150, rate: float = 0.5, decay: float = 1e-3):
+    """(unary weights, [weights of each kind of edge]) by pseudo-likelihood with Adam; edge weights are symmetric."""
+    if not len(y):
         return None
     rng = np.random.default_rng(3)
-    x = x.copy()
+    x = np.zeros((len(y), WIDTH), np.float32)
+    x[of, on] = 1
     x[:, 1:SHAPE][rng.random((len(x), SHAPE - 1)) < 1 / 3] = 0
     one = np.eye(K, dtype=np.float32)[y]
     around = []
-    for e in (chain, skip):
+    for e in edges:
         s = np.zeros((len(x), K), np.float32)
-        if len(e):
-            np.add.at(s, e[:, 0], one[e[:, 1]])
-            np.add.at(s, e[:, 1], one[e[:, 0]])
+        np.add.at(s, e[:, 0], one[e[:, 1]])
+        np.add.at(s, e[:, 1], one[e[:, 0]])
         around.append(s)
     z = np.concatenate([x, *around], axis=1)
     w = np.zeros((z.shape[1], K))
@@ -201,62 +235,83 @@ def train(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, ste
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         g = z.T @ (p - one) / len(z) + decay * w
-        for a in (WIDTH, WIDTH + K):
+        for a in range(WIDTH, len(w), K):
             g[a : a + K] = (g[a : a + K] + g[a : a + K].T) / 2
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    return w[:WIDTH], w[WIDTH : WIDTH + K], w[WIDTH + K :]
+    return w[:WIDTH], [w[a : a + K] for a in range(WIDTH, len(w), K)]
+
+
+def scores(on: np.ndarray, of: np.ndarray, n: int, unary: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    s = np.zeros((n, K))
+    for a in range(0, len(on), step):
+        np.add.at(s, of[a : a + step], unary[on[a : a + step]])
+    return s
 
 
-def marginals(x: np.ndarray, chain: np.ndarray, skip: np.ndarray, model, observed: np.ndarray, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
-    """Loopy sum-product on a whole batch's graph at once; ``observed`` labels over 0 are given."""
-    unary, near, far = model
-    s = x @ unary
+def marginals(s: np.ndarray, edges: list[np.ndarray], weights: list[np.ndarray], observed: np.ndarray, rounds: int = 12, damp: float = 0.3) -> np.ndarray:
+    """Loopy sum-product over a whole graph at once; ``observed`` labels over 0 are given."""
     s = np.where((observed > 0)[:, None], np.where(np.arange(K) == observed[:, None], 0.0, -30.0), s)
     s -= s.max(axis=1, keepdims=True)
-    edges = np.concatenate([chain, skip])
-    if not len(edges):
+    all_edges = np.concatenate(edges)
+    m = len(all_edges)
+    if not m:
         p = np.exp(s)
         return p / p.sum(axis=1, keepdims=True)
-    a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-    back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-    kind = np.concatenate([np.zeros(len(chain), np.int64), np.ones(len(skip), np.int64)] * 2)
-    potential = np.exp(np.stack([near - near.max(), far - far.max()]))[kind]
-    message = np.zeros((len(a), K))
-    total = s.copy()
+    a, b = np.concatenate([all_edges, all_edges[:, ::-1]]).T
+    back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
+    kind = np.tile(np.repeat(np.arange(len(edges)), [len(e) for e in edges]), 2)
+    potentials = [np.exp(w - w.max()) for w in weights]
+    message = np.zeros((2 * m, K))
+
+    def inbound() -> np.ndarray:
+        total = s.copy()
+        for k in range(K):
+            total[:, k] += np.bincount(b, message[:, k], len(s))
+        return total
+
     for _ in range(rounds):
-        inbound = np.zeros_like(s)
-        np.add.at(inbound, b, message)
-        total = s + inbound
-        out = total[a] - message[back]
+        out = inbound()[a] - message[back]
         out = np.exp(out - out.max(axis=1, keepdims=True))
-        new = np.log(np.maximum(np.einsum("ek,ekl->el", out, potential), 1e-30))
+        for k, potential in enumerate(potentials):
+            of = kind == k
+            out[of] = out[of] @ potential
+        new = np.log(np.maximum(out, 1e-30))
         new -= new.max(axis=1, keepdims=True)
         message = damp * message + (1 - damp) * new
-    inbound = np.zeros_like(s)
-    np.add.at(inbound, b, message)
-    total = s + inbound
+    total = inbound()
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
+def added_spans(g: Graph, model) -> list[tuple[int, int, int, int]]:
+    """(document, start, kind, end) of the spans that the field adds."""
+    on, of, observed, edges = g.arrays()
+    if not len(edges[1]) + len(edges[2]):
+        return []
+    unary, weights = model
+    p = marginals(scores(on, of, len(observed), unary), edges, weights, observed)
+    best = np.where(observed > 0, observed, p.argmax(axis=1))
+    backed = np.zeros(len(best), bool)
+    for e in edges[1:]:
+        backed[e[best[e[:, 0]] == best[e[:, 1]]].ravel()] = True
+    chosen = np.flatnonzero((observed == 0) & (best > 0) & (p.max(axis=1) >= SURE) & backed)
+    return [(*g.where[k][:2], int(best[k]) - 1, g.where[k][2]) for k in chosen.tolist()]
+
+
 def all_spans(texts: list[str], model) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text."""
     bases = [base_spans(t) if t else [] for t in texts]
     added: list[list] = [[] for _ in texts]
     if model is not None:
-        # A span is added only where a similar token bears its label, so documents without similar tokens get none.
-        held = [d for d, text in enumerate(texts) if text and has_similar(text)]
-        where, x, observed, chain, skip = graph([texts[d] for d in held], [bases[d] for d in held])
-        if len(skip):
-            p = marginals(x, chain, skip, model, observed)
-            best = np.where(observed > 0, observed, p.argmax(axis=1))
-            backed = np.zeros(len(where), bool)
-            same = best[skip[:, 0]] == best[skip[:, 1]]
-            backed[skip[same].ravel()] = True
-            for k in np.flatnonzero((observed == 0) & (best > 0) & (p.max(axis=1) >= SURE) & backed).tolist():
-                d, start, end = where[k]
-                added[held[d]].append((start, int(best[k]) - 1, end))
+        g = Graph()
+        for d, text in enumerate(texts):
+            if text:
+                g.add(d, text, bases[d])
+            if len(g.where) >= NODES or d + 1 == len(texts):
+                for k, start, kind, end in added_spans(g, model):
+                    added[k].append((start, kind, end))
+                g = Graph()
     return list(zip(bases, added, strict=True))
 
 
@@ -264,34 +319,42 @@ def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in sorted(spans))
 
 
+def training_texts(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS) -> DataFrame:
+    """h, t: about ``sample`` different texts with digits or an @, 2 * ``sample`` at most, by a hash of the text."""
+    texts = docs.select(F.xxhash64(F.lit(11), text_col).alias("h"), F.col(text_col).alias("t")).where(F.col(text_col).rlike("[0-9@]"))
+    share = min(1.0, sample / max(1, texts.count()))
+    low = texts.where(F.pmod("h", F.lit(STEPS)) < math.ceil(share * STEPS))
+    # Copies of a text have its hash: they count as one, and a text that fills a third of the table travels once a task.
+    return low.groupBy("h").agg(F.any_value("t").alias("t")).orderBy("h").limit(2 * sample)
+
+
 def learn(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS):
-    """The model, from a sample of about ``sample`` documents with digits, taken by a hash of the text."""
+    """The model; what comes to the driver has ``TRAIN_NODES`` candidate tokens a text at most."""
     arrow_batches(docs.sparkSession, 500)
-    texts = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.lit(11), text_col).alias("h"))
-    share = min(1.0, sample / max(1, docs.count()))
-    picked = texts.where(F.col("t").isNotNull() & (F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))).limit(2 * sample)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            ts = b.column(0).to_pylist()
-            for t, h in zip(ts, b.column(1).to_pylist(), strict=True):
-                _, x, y, chain, skip = graph([t], [base_spans(t)])
-                y = shared_labels(y, skip)
-                if len(x):
-                    yield pa.RecordBatch.from_pydict({"h": [h], "x": pa.array([np.packbits(x.astype(np.uint8)).tobytes()], pa.binary()), "y": pa.array([y.astype("<i2").tobytes()], pa.binary()), "c": pa.array([chain.astype("<i4").tobytes()], pa.binary()), "s": pa.array([skip.astype("<i4").tobytes()], pa.binary())})
-
-    got = sorted(picked.mapInArrow(run, "h long, x binary, y binary, c binary, s binary").collect(), key=lambda r: (r["h"], r["x"]))
-    xs, ys, cs, ss, at = [np.zeros((0, WIDTH), np.float32)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)], 0
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                g = Graph()
+                g.add(0, t, base_spans(t), every=True)
+                if 0 < len(g.where) <= TRAIN_NODES:
+                    on, of, y, edges = g.arrays()
+                    y = shared_labels(shared_labels(y, edges[1]), edges[2])
+                    packed = [x.astype("<i2").tobytes() for x in (on, of, y, *edges)]
+                    yield pa.RecordBatch.from_pydict({"h": pa.array([h], pa.int64()), **{f"c{k}": pa.array([x], pa.binary()) for k, x in enumerate(packed)}})
+
+    columns = ", ".join(f"c{k} binary" for k in range(6))
+    got = sorted(training_texts(docs, text_col=text_col, sample=sample).mapInArrow(run, f"h long, {columns}").collect(), key=lambda r: r["h"])
+    parts, at = [[np.zeros(0, np.int64)] for _ in range(6)], 0
     for r in got:
-        y = np.frombuffer(r["y"], "<i2").astype(np.int64)
-        xs.append(np.unpackbits(np.frombuffer(r["x"], np.uint8), count=len(y) * WIDTH).reshape(len(y), WIDTH).astype(np.float32))
-        ys.append(y)
-        cs.append(np.frombuffer(r["c"], "<i4").reshape(-1, 2).astype(np.int64) + at)
-        ss.append(np.frombuffer(r["s"], "<i4").reshape(-1, 2).astype(np.int64) + at)
-        at += len(y)
-    return train(np.concatenate(xs), np.concatenate(ys), np.concatenate(cs), np.concatenate(ss))
+        found = [np.frombuffer(r[f"c{k}"], "<i2").astype(np.int64) for k in range(6)]
+        for k, x in enumerate(found):
+            parts[k].append(x + at if k not in (0, 2) else x)
+        at += len(found[2])
+    on, of, y, *edges = [np.concatenate(x) for x in parts]
+    return train(on, of, y, [e.reshape(-1, 2) for e in edges])
 
 
 def find_private(docs: DataFrame, model=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 """Each operator against brute force, an exact round trip, SQL or held-out labels; then the odd inputs."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -194,10 +196,72 @@ def test_similar_tokens_back_each_other_without_a_base_span():
     unary, no = np.zeros((pii.WIDTH, pii.K)), np.zeros((pii.K, pii.K))
     unary[0, 4] = 5
     text = "call 5551234567 now, I said 5551234567"
-    (base, added), (held, same), (_, none) = pii.all_spans([text, text + " or a@b.cc", "call 5551234567 now"], (unary, no, no))
+    (base, added), (held, same), (_, none) = pii.all_spans([text, text + " or a@b.cc", "call 5551234567 now"], (unary, [no] * 3))
     assert not base and held and added == same and len(added) == 2 and not none
 
 
+def test_broken_forms_of_an_entity_are_found(spark):
+    """Held-out planted documents: an entity in a form that a pattern takes, and again in one that none takes."""
+    rng = random.Random(16)
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
+
+    def made(k):
+        user, host, phone, order = f"{name()}.{name()}", name(), "".join(rng.choice("123456789") for _ in range(11)), rng.randrange(10**9, 10**10)
+        return [
+            (f"write to {user}@{host}.org soon. Order {order} went out, reply to {user}@{host} please", f"{user}@{host} please", f"{user}@{host}", 0),
+            (f"call +{phone} or ask. Ticket {order} is open; the line {phone} is free", f"{phone} is", phone, 3),
+        ][k % 2]
+
+    plans = [made(k) for k in range(400)]
+    got = {r["doc_id"]: r for r in pii.find_private(odd_docs(spark, [(k, p[0], "s") for k, p in enumerate(plans)])).collect()}
+    right, added = 0, sum(r["n_added"] for r in got.values())
+    for k, (text, tail, form, kind) in enumerate(plans):
+        start = text.rindex(tail)
+        right += f"{pii.KINDS[kind]}:{start}:{start + len(form)}" in got[k]["spans"].split(",")
+    assert right >= 0.9 * len(plans) and right >= 0.95 * added, (right, added)
+
+
+def brute_marginals(s, edges, weights, observed):
+    """By the sum over all labellings."""
+    n, total = len(s), np.zeros_like(s)
+    for y in itertools.product(range(pii.K), repeat=n):
+        if any(o and y[k] != o for k, o in enumerate(observed)):
+            continue
+        p = np.exp(sum(s[k, y[k]] for k in range(n)) + sum(w[y[a], y[b]] for e, w in zip(edges, weights, strict=True) for a, b in e))
+        for k in range(n):
+            total[k, y[k]] += p
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_are_those_of_all_labellings():
+    rng = np.random.default_rng(5)
+    none = np.zeros((0, 2), np.int64)
+    for trial in range(12):
+        s, weights = rng.normal(size=(5, pii.K)), [(w + w.T) / 2 for w in rng.normal(size=(3, pii.K, pii.K))]
+        observed = np.array([0, 0, int(rng.integers(0, pii.K)), 0, 0])
+        tree = [np.array([[0, 1], [1, 2]]), np.array([[1, 3]]), np.array([[2, 4]])]
+        assert np.allclose(pii.marginals(s, tree, weights, observed, rounds=60), brute_marginals(s, tree, weights, observed), atol=1e-6)
+        # With a loop the messages are an approximation.
+        loop = [np.array([[0, 1], [1, 2], [2, 3]]), np.array([[0, 3]]), none if trial % 2 else np.array([[0, 4]])]
+        weak = [0.5 * w for w in weights]
+        assert np.abs(pii.marginals(s, loop, weak, observed, rounds=60) - brute_marginals(s, loop, weak, observed)).max() < 0.1
+
+
+def test_long_texts_full_of_numbers_stay_linear():
+    text = " ".join(f"{k * 7919 % 10**8:08d}" for k in range(30_000)) + " +49 30 1234567 x 49301234567"
+    g = pii.Graph()
+    g.add(0, text, pii.base_spans(text))
+    assert len(g.where) <= 30_010 and sum(len(e) for e in g.edges) <= len(g.where) * (1 + 2 * pii.FAN)
+
+
+def test_the_training_sample_is_there_at_any_size(spark):
+    docs = spark.createDataFrame([("a 1",)] * 50 + [(f"b {k}",) for k in range(50)] + [(None,), ("none",)], "text string")
+    got = [r["t"] for r in pii.training_texts(docs, sample=1000).collect()]
+    assert sorted(got) == sorted({"a 1", *(f"b {k}" for k in range(50))})
+    assert math.ceil(2000 / 1e15 * pii.STEPS) > 1000
+    assert pii.find_private(docs.select(F.lit(1).alias("doc_id"), "text").limit(0)).count() == 0
+
+
 # 4. Decontamination.
 
 
