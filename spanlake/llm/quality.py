@@ -102,13 +102,26 @@ def vote(x: np.ndarray, model, neighbours: int = NEIGHBOURS) -> np.ndarray:
         return out
     for a in range(0, len(x), 512):
         cos = latent[a : a + 512] @ known.T
-        best = np.argsort(-cos, axis=1, kind="stable")[:, :neighbours] if cos.shape[1] <= neighbours else np.argpartition(-cos, neighbours, axis=1)[:, :neighbours]
+        best = nearest(cos, neighbours)
         weight = np.maximum(np.take_along_axis(cos, best, 1), 0).astype(np.float64) ** POWER
         total = weight.sum(axis=1)
         np.divide((weight * y[best]).sum(axis=1), total, out=out[a : a + 512], where=total > 0)
     return np.clip(out, 0, 1)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row in ascending order; of equal values the first columns count."""
+    if cos.shape[1] <= k:
+        return np.tile(np.arange(cos.shape[1]), (len(cos), 1))
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    above, equal = cos > least, cos == least
+    room = k - above.sum(axis=1)
+    over = equal.sum(axis=1) > room
+    if over.any():
+        equal[over] &= np.cumsum(equal[over], axis=1) <= room[over, None]
+    return np.nonzero(above | equal)[1].reshape(len(cos), k)
+
+
 def sample_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The bounded sample's term counts (as half floats) and labels, in the order of its keys."""
 

@@ -1,8 +1,11 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are the presence of single words, of words cut to five and seven letters (a plain stemming), of pairs
-of neighbours and of pairs with one word between, hashed to 2**20 places. Training is online with per-coordinate rates and L1 sparsity on a bounded sample of labelled
-rows (``TRAIN_ROWS``); the few weights that are not zero are broadcast and every whole text is scored.
+of neighbours and of pairs with one word between, hashed to 2**20 places. Training is online with per-coordinate
+rates and L1 sparsity on a bounded sample of labelled rows (``TRAIN_ROWS``). It runs in one task, which reads the
+sample's features in batches, in the order of epochs and keys, so its memory is the model and a batch whatever the
+lengths of the texts; the few weights that are not zero come to the driver, are broadcast, and every whole text is
+scored.
 
 Edge cases: null and empty texts have the bias alone for a score; repeated rows and ids are scored alike;
 with no labelled rows, or none of a class, the score is the smoothed share of the class; an empty table gives
@@ -17,13 +20,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, crc_mod
+from .common import arrow_batches, crc_mod, drop_table, table
 from .labelled import training_sample
 from .words import WordHashes, hashed_words, mix64
 
 BITS = 20
-#: The bound of the training sample.
-TRAIN_ROWS = 12000
+#: The bound of the training sample and the times that it is gone through.
+TRAIN_ROWS, EPOCHS = 12000, 4
 
 
 class Stems(WordHashes):
@@ -77,23 +80,24 @@ class Ftrl:
         self.bias_n += g * g
 
 
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = 4, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias): only what is not zero."""
-    ys = [y for _, y in rows]
-    if len(set(ys)) < 2:
-        share = (sum(ys) + 0.5) / (len(ys) + 1)
+def train(rows) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias), only what is not zero, from (places of features, label) in the order of training.
+
+    With one class alone the bias is that of its smoothed share and there are no weights."""
+    model, seen = Ftrl(), [0, 0]
+    for at, y in rows:
+        seen[y] += 1
+        model.learn(at, y)
+    if not all(seen):
+        share = (seen[1] + 0.5) / (sum(seen) + 1)
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share)))
-    model = Ftrl(**options)
-    for _ in range(epochs):
-        for at, y in rows:
-            model.learn(at, y)
     w = model.weights()
     at = np.flatnonzero(w)
     return at, w[at], float(model.bias)
 
 
-def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, int]]:
-    """The bounded sample's features, hashed on the executors and in the order of its keys."""
+def sample_features(sample: DataFrame) -> DataFrame:
+    """key, at (places of the features) and label of the bounded sample, written."""
 
     def run(batches):
         import pyarrow as pa
@@ -105,9 +109,27 @@ def sample_features(sample: DataFrame) -> list[tuple[np.ndarray, int]]:
             parts = np.split(at[order], np.searchsorted(doc[order], np.arange(1, b.num_rows)))
             yield pa.RecordBatch.from_pydict({"key": b.column(0), "at": pa.array([np.unique(p).astype("<u4").tobytes() for p in parts], pa.binary()), "label": b.column(2)})
 
-    got = sample.mapInArrow(run, "key long, at binary, label int").collect()
-    # Views of the bytes that were received: wider copies would double the driver's share.
-    return [(np.frombuffer(r["at"], "<u4"), r["label"]) for r in sorted(got, key=lambda r: (r["key"], r["at"]))]
+    return table(sample.mapInArrow(run, "key long, at binary, label int"), "ftrl-sample")
+
+
+def learn(sample: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """The model of a bounded sample, as in :func:`train`."""
+    spark = sample.sparkSession
+    arrow_batches(spark, 100)
+    features = sample_features(sample)
+    ordered = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).repartition(1).sortWithinPartitions("epoch", "key", "at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        at, w, bias = train((np.frombuffer(x, "<u4"), y) for b in batches for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_pydict({"at": pa.array([*at.tolist(), -1], pa.int64()), "w": pa.array([*w.tolist(), bias], pa.float64())})
+
+    got = ordered.select("at", "label").mapInArrow(run, "at long, w double").toArrow().sort_by("at")
+    drop_table(features)
+    at, w = got["at"].to_numpy(), got["w"].to_numpy()
+    # Of an empty sample no task may have run.
+    return (at[1:], w[1:], float(w[0])) if len(at) else train([])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,8 +156,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, id_co
 
 def classify(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    arrow_batches(docs.sparkSession)
-    model = train(sample_features(training_sample(docs, labels, label, folds, held, rows)))
+    model = learn(training_sample(docs, labels, label, folds, held, rows))
     out = score(docs, model).withColumn("held_out", crc_mod("doc_id", folds) == held)
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

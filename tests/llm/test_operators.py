@@ -383,6 +383,68 @@ def test_held_out_accuracy(spark, module, label, folds, held, least):
     assert a == b
 
 
+def test_training_is_plain_ftrl(spark):
+    rng, texts, ys = random.Random(21), [], []
+    for k in range(160):
+        ys.append(k % 3 == 0)
+        texts.append(" ".join(rng.choice(WORDS[:40] if ys[-1] else WORDS[30:90]) for _ in range(rng.randrange(1, 30))))
+    sample = spark.createDataFrame([(1000 - k, t, int(y)) for k, (t, y) in enumerate(zip(texts, ys, strict=True))], "key long, text string, label int")
+    at, w, bias = toxicity.learn(sample, epochs=3)
+    a, beta, l1, l2 = 0.3, 1.0, 6.0, 1.0
+    z, n = {}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z.get(i, 0.0) / ((beta + n.get(i, 0.0) ** 0.5) / a)
+        return 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + n[i] ** 0.5) / a + l2)
+
+    for _ in range(3):
+        for t, y in list(zip(texts, ys, strict=True))[::-1]:
+            on = {*toxicity.grams([t], toxicity.Stems())[0].tolist(), "bias"}
+            now = {i: weight(i) for i in on}
+            g = 1 / (1 + math.exp(-sum(now.values()))) - y
+            for i in on:
+                step = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / a
+                z[i], n[i] = z.get(i, 0.0) + g - step * now[i], n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want, rel=1e-9) and len(want) > 3 and bias == pytest.approx(weight("bias"))
+
+
+def test_votes_are_those_of_the_exact_neighbours():
+    rng = np.random.default_rng(9)
+    n, dims = 90, quality.WORDS + quality.SHAPES
+    x = np.zeros((n, dims), np.float32)
+    x[:, :40] = rng.integers(0, 3, (n, 40))
+    y = rng.integers(0, 2, n)
+    model = quality.fit(x.copy(), y, dims=12)
+    asked = np.concatenate([x[:5], np.zeros((1, dims), np.float32), rng.integers(0, 2, (30, dims)).astype(np.float32)])
+    got = quality.vote(asked, model, neighbours=7)
+    w, v, known, _, share = model
+    for row, score in zip(asked, got, strict=True):
+        z = (row * w) / max(np.linalg.norm(row * w), 1e-30) @ v
+        if not np.linalg.norm(z):
+            assert score == share
+            continue
+        cos = [float(np.dot(z / np.linalg.norm(z), k)) for k in known]
+        best = sorted(range(n), key=lambda i: (-cos[i], i))[:7]
+        weights = [max(cos[i], 0) ** quality.POWER for i in best]
+        assert score == pytest.approx(sum(a * y[i] for a, i in zip(weights, best, strict=True)) / sum(weights), abs=1e-3)
+
+
+def test_of_equal_neighbours_the_first_count():
+    cos = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.2, 0.2, 0.2, 0.2, 0.2], [0.1, 0.2, 0.3, 0.4, 0.5]], np.float32)
+    assert quality.nearest(cos, 2).tolist() == [[0, 1], [0, 1], [3, 4]] and quality.nearest(cos, 9).shape == (3, 5)
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    from spanlake.llm.labelled import training_sample
+
+    docs = spark.createDataFrame([(1, f"t{k}") for k in range(30)] + [(2, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 1), (3, 1)], "doc_id long, toxic int")
+    got = [tuple(r)[1:] for r in training_sample(docs, labels, "toxic", 7, 6, 10).collect()]
+    assert sorted(got) == [("", 1), ("t0", 1)]
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers_of_odd_rows(spark, module, label):
     docs = odd_docs(spark, odd_rows(random.Random(1)))
