@@ -18,7 +18,7 @@ BLOCK = 1024
 
 def deal(rows: DataFrame, keys: list[str], count: str, node: str, block: int = BLOCK) -> DataFrame:
     """``rows`` with a column ``unit`` (string-free 64-bit hash), ``block`` and ``alone`` (the unit is one block),
-    partitioned and sorted by unit. ``count`` is the number of rows of the group."""
+    partitioned and sorted by unit. ``count`` is the number of rows of the group, or more where its rows are large."""
     n = F.ceil(F.col(count) / F.lit(float(block))).cast("int")
     x = rows.withColumn("_n", n).withColumn("block", F.pmod(F.xxhash64(node), F.col("_n")).cast("int"))
     x = x.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))

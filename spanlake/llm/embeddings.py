@@ -5,8 +5,9 @@ A hash of a vector is the nearest signed axis after three rounds of random signs
 at the threshold meets with a chance of ``RECALL``; each vector also visits the bucket in which its least
 sure hash is replaced by the second nearest axis (multiprobe). All pairs of a bucket are verified by their cosine in double precision. A pair that meets in several buckets counts in the first.
 
-Identical vectors are one class with a weight before hashing, so copies never meet. Within a bucket pairs are
-looked at in blocks (see blocks.py) and only sums and spanning links are written.
+Identical vectors are one class with a weight before hashing, so copies never meet. A class is hashed once; its
+buckets travel with it. Within a bucket pairs are looked at in blocks (see blocks.py) and only sums and spanning
+links are written.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 components of their own; vectors of different lengths never link; repeated rows are vectors that link with
@@ -23,15 +24,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import deal, forest, pairs_of, units
+from .blocks import BLOCK, deal, forest, pairs_of, units
 from .common import arrow_batches, small, table
 from .components import connected
 from .words import mix64
 
 #: The least number of tables, and the chance that a pair at the threshold meets in one of them.
 TABLES, RECALL = 12, 0.999
-#: Rows that a bucket should have at most if vectors were random.
-RANDOM_ROWS = 1.0
+#: Rows that a bucket should have at most if vectors were random; bytes of vectors that a block should have at most.
+RANDOM_ROWS, BLOCK_BYTES = 1.0, 16 << 20
 
 
 def rotations(dim: int, count: int, seed: int = 5) -> np.ndarray:
@@ -121,6 +122,18 @@ def tables_for(size: int, hashes: int, threshold: float) -> int:
     return max(TABLES, math.ceil(math.log(1 - RECALL) / math.log(1 - chance)))
 
 
+def node_of(rep, key):
+    """A class's name: its least id, so that names sort by it (null last), and the hash of the vector."""
+    offset = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    place = F.lpad((rep.cast("decimal(20,0)") + offset).cast("string"), 20, "0")
+    return F.concat(F.coalesce(place, F.lit("~" * 20)), key)
+
+
+def id_of(node):
+    offset = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(~node.startswith("~"), (F.substring(node, 1, 20).cast("decimal(20,0)") - offset).cast("long"))
+
+
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tables: int | None = None, hashes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
@@ -129,7 +142,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))) & F.exists(v, lambda c: c != 0)
     key = F.when(F.coalesce(good, F.lit(False)), F.md5(F.to_json(F.struct(v.alias("v")))))
     rows = table(vectors.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.when(key.isNotNull(), v).alias("v")), "vectors")
-    classes = table(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v")), "vector-classes")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.any_value("v").alias("v"))
+    classes = table(classes.select(node_of(F.col("rep"), F.col("key")).alias("node"), "weight", "v"), "vector-classes")
     bits = F.length(F.bin(F.size("v") - 1))
     top = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.collect_set(bits)).first()
     k = hashes or number_of_hashes(top[0], top[1] or 1)
@@ -143,34 +157,37 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         import pyarrow as pa
 
         for b in batches:
-            keys, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            vs = b.column(2).to_pylist()
             for dim in sorted({len(x) for x in vs}):
                 at = [i for i, x in enumerate(vs) if len(x) == dim]
-                home, visit = buckets(unit_rows([vs[i] for i in at]), signs_of(dim), k)
-                both = np.concatenate([home, visit], axis=1)
-                names = [keys[i] for i in at]
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(both.ravel() + dim, pa.int64()), "key": pa.array(np.repeat(names, both.shape[1]), pa.string())})
-
-    slim = table(classes.select("key", "v").mapInArrow(places, "bucket long, key string"), "vector-buckets")
+                unit = unit_rows([vs[i] for i in at])
+                home, visit = (x + dim for x in buckets(unit, signs_of(dim), k))
+                found = [np.unique(x) for x in np.concatenate([home, visit], axis=1)]
+                packed = {n: pa.array([r.tobytes() for r in x], pa.binary()) for n, x in (("unit", unit), ("home", home), ("visit", visit))}
+                yield pa.RecordBatch.from_pydict({"node": b.column(0).take(pa.array(at)), "weight": b.column(1).take(pa.array(at)), **packed, "buckets": pa.array(found, pa.list_(pa.int64()))})
+
+    # Each vector is hashed once: its buckets travel with it and decide in which of them a pair counts.
+    hashed = table(classes.select("node", "weight", "v").mapInArrow(places, "node string, weight long, unit binary, home binary, visit binary, buckets array<long>"), "vector-buckets")
+    slim = hashed.select("node", F.explode("buckets").alias("bucket"))
     counts = slim.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Only vectors that share a bucket travel, once for each such bucket.
-    meet = slim.join(counts, "bucket").distinct().join(classes, "key").select("bucket", "n", "key", "weight", "v")
-    dealt = deal(meet, ["bucket"], "n", "key").select("unit", "bucket", "block", "alone", "key", "weight", "v")
+    # Only vectors that share a bucket travel, once for each such bucket. A block's bytes are bounded as its rows are.
+    load = F.ceil(F.col("n") * F.greatest(F.lit(1.0), F.octet_length("unit") / F.lit(BLOCK_BYTES / BLOCK)))
+    meet = slim.join(counts, "bucket").join(hashed.drop("buckets"), "node").withColumn("n", load)
+    names = ["bucket", "block", "alone", "node", "weight", "unit", "home", "visit"]
+    dealt = deal(meet.withColumnRenamed("unit", "x"), ["bucket"], "n", "node").select(F.col("unit"), *[F.col("x").alias("vector") if c == "unit" else F.col(c) for c in names])
 
     def verify(batches):
         import pyarrow as pa
 
-        for u in units(batches, ["bucket", "block", "alone", "key", "weight", "v"]):
-            if len(u["key"]) < 2:
-                continue
-            x = unit_rows(u["v"])
+        for u in units(batches, [c if c != "unit" else "vector" for c in names]):
+            if len(u["node"]) < 2 or len({len(x) for x in u["vector"]}) > 1:
+                continue  # vectors of different lengths share a bucket by chance of a hash only, and never link
+            x = np.frombuffer(b"".join(u["vector"]), np.float64).reshape(len(u["node"]), -1)
             i, j = pairs_of(u["block"], u["alone"][0], x @ x.T >= threshold)
             if not len(i):
                 continue
-            bucket = u["bucket"][0]
-            home, visit = buckets(x, signs_of(x.shape[1]), k)
-            home, visit = home + x.shape[1], visit + x.shape[1]
-            first = owner(home, visit, i, j) == bucket
+            home, visit = (np.frombuffer(b"".join(u[c]), np.int64).reshape(len(x), -1) for c in ("home", "visit"))
+            first = owner(home, visit, i, j) == u["bucket"][0]
             i, j = i[first], j[first]
             if not len(i):
                 continue
@@ -178,14 +195,14 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
             links = np.bincount(i, w[j], len(w)) + np.bincount(j, w[i], len(w))
             at = np.flatnonzero(links)
             tree = forest(len(w), i, j)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([u["key"][m] for m in at] + [u["key"][m] for m, _ in tree], pa.string()), "b": pa.array([None] * len(at) + [u["key"][m] for _, m in tree], pa.string()), "n": pa.array([int(links[m]) for m in at] + [0] * len(tree), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"a": pa.array([u["node"][m] for m in at] + [u["node"][m] for m, _ in tree], pa.string()), "b": pa.array([None] * len(at) + [u["node"][m] for _, m in tree], pa.string()), "n": pa.array([int(links[m]) for m in at] + [0] * len(tree), pa.int64())})
 
     found = table(dealt.mapInArrow(verify, "a string, b string, n long"), "vector-links")
-    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "key")
-    component = connected(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "key")
-    named = classes.select("key", "rep", "weight").join(component, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    result = named.join(smallest, "component").join(links, "key", "left").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
+    # A component's name is its least node, and that one bears its least id: no rows meet by component.
+    component = connected(found.where("b is not null").select("a", "b"))
+    named = classes.select("node", "weight").join(component, "node", "left").join(links, "node", "left")
+    result = named.select(F.substring("node", 21, 32).alias("key"), id_of(F.coalesce("component", "node")).alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     out = rows.select("id", "key").join(small(table(result, "vector-result")), "key", "left")
     component_id = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component_id.alias("component_id"), F.coalesce(F.col("id") == component_id, F.lit(False)).alias("kept"))
