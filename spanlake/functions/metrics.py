@@ -1,4 +1,4 @@
-"""Metric maps and content ids as Columns."""
+"""Metric maps, content ids and sizes as Columns."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def add_metrics(a: Column, b: Column) -> Column:
-    """Sum of two metric maps: union of names, a missing value counts as zero."""
-    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0)))
-
-
 def present(names: list[str], values: list[Column]) -> Column:
     """A metric map of the values that are not null."""
     if not names:
@@ -23,10 +18,6 @@ def content_id(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def valid_id(content_id_: Column) -> Column:
-    return F.coalesce(content_id_.rlike("^[0-9a-f]{64}$"), F.lit(False))
-
-
 def record_bytes(key: Column, payload: Column) -> Column:
     """Estimated stored size of a record: payload, key and a fixed overhead."""
     return F.coalesce(F.octet_length(payload), F.lit(0)) + F.octet_length(key) + 32

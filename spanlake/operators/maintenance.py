@@ -1,19 +1,21 @@
-"""Upkeep of a store as batch jobs: compaction, retention, reclaim, tiers, purge, blob sweep and vacuum.
+"""Upkeep of a store as batch jobs: compaction, retention, reclaim, tiers, purge, migration, blob sweep and vacuum.
 
-Each job reads whole files, writes new ones and swaps the lists in one commit. Choices are made on the commit's zones,
-so they cost no scan.
+Each job reads whole files, writes new ones and swaps the lists in one commit, counters included. Choices are made on the
+commit's zones, so they cost no scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.plans.zones import Zone, keys_overlap
+from spanlake.plans.zones import Overlap, Zone, alone
+from spanlake.schema import LOG_COLUMNS
+from spanlake.sources.files import copy_on_executors
 
 from .fold import fold
 from .reclaim import dead_rows
@@ -30,7 +32,7 @@ def tick(store: Store, now: int) -> None:
     """One round, in a fixed order."""
     store.flush()
     compact(store, now)
-    reclaim(store)
+    reclaim(store, store.config.reclaim_files_per_tick)
     tier(store, now)
     groom(store, now)
     migrate(store)
@@ -44,42 +46,66 @@ def mergeable(z: Zone, config: Config) -> bool:
     return z.tier == "hot" and z.count < config.max_segment_records and z.bytes < config.max_segment_bytes // 2
 
 
-def choose_run(zones: list[Zone], config: Config) -> list[Zone]:
-    """Files to merge: neighbours in write order, not parted by a sealed or colder one; the longest stretch of one size
-    tier, or all of a stretch that has grown to four times the least number."""
-    ordered = sorted(zones, key=lambda z: (z.max_seq, z.min_key))
-    stretches: list[list[Zone]] = [[]]
-    for z in ordered:
+def stretches_of(zones: list[Zone], config: Config) -> list[list[Zone]]:
+    """Neighbours in write order that may be merged; a sealed or colder file parts them."""
+    out: list[list[Zone]] = [[]]
+    for z in sorted(zones, key=lambda z: (z.max_seq, z.min_key.encode())):
         if mergeable(z, config):
-            stretches[-1].append(z)
-        elif stretches[-1]:
-            stretches.append([])
-    best: list[Zone] = []
-    for s in stretches:
-        if len(s) > TIER_FACTOR * config.compact_min_segments:
-            return s
-        for a in range(len(s)):
-            low = high = s[a].count
-            for b in range(a, len(s)):
-                low, high = min(low, s[b].count), max(high, s[b].count)
-                if high >= TIER_FACTOR * max(low, 1):
-                    break
-                if b - a + 1 > len(best):
-                    best = s[a : b + 1]
+            out[-1].append(z)
+        elif out[-1]:
+            out.append([])
+    return [s for s in out if s]
+
+
+def same_tier_run(stretch: list[Zone]) -> list[Zone]:
+    """The longest, and of those the first, run whose largest file has less than TIER_FACTOR times the rows of its least.
+
+    Two pointers: the window's extremes stand in queues, so each file enters and leaves once.
+    """
+    best, first, lows, highs = (0, 0), 0, [], []
+    low_at = high_at = 0
+    for k, z in enumerate(stretch):
+        while len(lows) > low_at and stretch[lows[-1]].count >= z.count:
+            lows.pop()
+        while len(highs) > high_at and stretch[highs[-1]].count <= z.count:
+            highs.pop()
+        lows.append(k)
+        highs.append(k)
+        while stretch[highs[high_at]].count >= TIER_FACTOR * max(stretch[lows[low_at]].count, 1):
+            first += 1
+            low_at += lows[low_at] < first
+            high_at += highs[high_at] < first
+        if k + 1 - first > best[1] - best[0]:
+            best = (first, k + 1)
+    return stretch[best[0] : best[1]]
+
+
+def choose_run(zones: list[Zone], config: Config) -> list[Zone]:
+    """Files to merge: the longest run of one size tier, if it has the least number of files (two at least, but for a single
+    one where retention may drop rows); else, where files in all have grown to four times that number, the longest stretch."""
+    stretches = stretches_of(zones, config)
+    least = max(1, config.compact_min_segments)
     has_policy = bool(config.retention.rows) or config.retention.everything is not None
-    return best if len(best) >= max(2, config.compact_min_segments if not has_policy else 2) else []
+    run = max(map(same_tier_run, stretches), key=len, default=[])
+    if len(run) >= (least if has_policy else max(2, least)):
+        return run
+    longest = max((s for s in stretches if len(s) >= 2), key=len, default=[])
+    return longest if sum(map(len, stretches)) > TIER_FACTOR * least else []
 
 
-def swap(store: Store, old: list[Zone], rows: DataFrame | None, *, folded: bool, created: int | None = None, **counted: int) -> list[Zone]:
-    """Replace files by what ``rows`` holds."""
+def swap(store: Store, old: list[Zone], rows: DataFrame | None, *, unique: bool = False, fewer: str | None = None, **counted: int) -> list[Zone]:
+    """Replace files by what ``rows`` holds, in one commit. ``fewer``: the counter of the rows that are gone."""
     now = store.snapshot()
     new: list[Zone] = []
     if rows is not None:
-        new, _ = store.write_files(rows, now, sort=True, created=created or max(z.created for z in old), folded=folded)
+        mean = sum(z.bytes for z in old) / max(1, sum(z.count for z in old))
+        new = store.write_files(rows, now, mean=mean, created=max(z.created for z in old), unique=unique)
     gone = {z.id for z in old}
     kept = tuple(z for z in now.zones if z.id not in gone)
-    made = replace(now, zones=(*kept, *new), next_file=now.next_file + len(new)).counted(bytes_compacted=sum(z.bytes for z in new), files_dropped=len(old) - len(new), **counted)
-    store.commits.add(made)
+    made = replace(now, zones=(*kept, *new), next_file=now.next_file + len(new))
+    if fewer:
+        counted[fewer] = sum(z.count for z in old) - sum(z.count for z in new)
+    store.commits.add(made.counted(bytes_compacted=sum(z.bytes for z in new), files_dropped=len(old) - len(new), **counted))
     return new
 
 
@@ -90,8 +116,8 @@ def compact(store: Store, now: int, run: list[Zone] | None = None) -> list[Zone]
     run = choose_run(zones, store.config) if run is None else run
     if not run:
         return []
-    ids = {z.id for z in run}
-    others = [z for z in zones if z.id not in ids and any(keys_overlap(z, r) for r in run)]
+    ids, touches = {z.id for z in run}, Overlap(run)
+    others = any(z.id not in ids and touches(z) for z in zones)
     rows = fold(store.log(run), list(store.snapshot().metrics))
     if not others:
         rows = rows.where("op <> 'del'")
@@ -100,8 +126,8 @@ def compact(store: Store, now: int, run: list[Zone] | None = None) -> list[Zone]
         ttl = policy.column(F.col("key"))
         old = ttl.isNotNull() & (F.col("ts") < F.lit(now) - ttl)
         # With other files about, an expired winner becomes a delete: it must go on hiding what they hold.
-        rows = rows.where(~old) if not others else _as_deletes(rows, old & (F.col("op") == "put"))
-    return swap(store, run, rows, folded=True, compactions=1)
+        rows = _as_deletes(rows, old & (F.col("op") == "put")) if others else rows.where(~old)
+    return swap(store, run, rows, unique=True, compactions=1)
 
 
 def _as_deletes(rows: DataFrame, where) -> DataFrame:
@@ -115,8 +141,9 @@ def compact_all(store: Store, now: int) -> list[Zone]:
 
 
 def groom(store: Store, now: int) -> int:
-    """Retention without compaction: files in which every row must have expired are dropped by their zones alone, if no
-    other file shares their keys; of the rest, hot files with expired winners are rewritten. Returns dropped files."""
+    """Retention without compaction. Files in which every row must have expired are dropped by their zones alone, if no
+    other file shares their keys. Of the rest, hot files with expired winners are rewritten: an expired key's writes leave
+    the hot files, and where a colder file may hold older ones a delete stays to hide them. Returns dropped files."""
     policy = store.config.retention
     if not policy.rows and policy.everything is None:
         return 0
@@ -126,54 +153,63 @@ def groom(store: Store, now: int) -> int:
         ttl = policy.longest_in(z.min_key, z.max_key)
         return ttl is not None and ts < now - ttl
 
-    alone = lambda z: not any(o.id != z.id and keys_overlap(o, z) for o in zones)
-    gone = [z for z in zones if over(z, z.max_ts) and alone(z)]
+    single = alone(zones)
+    gone = [z for z in zones if z.id in single and over(z, z.max_ts)]
     if gone:
-        swap(store, gone, None, folded=False, rows_expired=sum(z.count for z in gone))
+        swap(store, gone, None, fewer="rows_expired")
+    left = {z.id for z in zones} - {z.id for z in gone}
     shortest = min([t for _, t in policy.rows] + ([policy.everything] if policy.everything is not None else []))
-    some = [z for z in zones if z not in gone and z.tier == "hot" and z.min_ts < now - shortest]
-    if some:
-        # Winners are judged over all files that share keys; the whole history of an expired key leaves the hot files.
-        near = [z for z in zones if z not in gone and any(keys_overlap(z, s) for s in some)]
-        log = store.log(near)
-        # Of keys in ``some`` every write is in ``near``; other keys are not judged here.
-        keys = store.log(some).select("key").distinct()
-        dead = expired(fold(log.join(keys, "key", "left_semi"), list(store.snapshot().metrics)), policy, now).select("key")
-        if all(z.tier == "hot" for z in near) and not dead.isEmpty():
-            before = sum(z.count for z in near)
-            new = swap(store, near, log.join(dead, "key", "left_anti"), folded=False)
-            store.commits.add(store.snapshot().counted(rows_expired=before - sum(z.count for z in new)))
+    some = [z for z in zones if z.id in left and z.tier == "hot" and z.min_ts < now - shortest]
+    if not some:
+        return len(gone)
+    # Winners are judged over all files that share keys; of keys in ``some`` every write is in ``near``.
+    touches = Overlap(some)
+    near = [z for z in zones if z.id in left and touches(z)]
+    hot, cold = [z for z in near if z.tier == "hot"], [z for z in near if z.tier != "hot"]
+    keys = store.log(some).select("key").distinct()
+    winners = fold(store.log(near).join(keys, "key", "left_semi"), list(store.snapshot().metrics))
+    dead = expired(winners.where("op <> 'del'"), policy, now).select("key", "seq", "ts")
+    if not dead.isEmpty():
+        rows = store.log(hot).join(dead.select("key"), "key", "left_anti").select(*LOG_COLUMNS)
+        if cold:
+            hidden = dead.join(store.log(cold).select("key").distinct(), "key", "left_semi")
+            marks = hidden.select("key", "ts", *[F.lit(None).cast(t).alias(c) for c, t in (("labels", "map<string,string>"), ("numerics", "map<string,double>"), ("payload", "binary"), ("text", "string"))], "seq", F.lit("del").alias("op"))
+            rows = rows.unionByName(marks)
+        swap(store, hot, rows, fewer="rows_expired")
     return len(gone)
 
 
-def reclaim(store: Store) -> int:
+def reclaim(store: Store, files: int | None = None) -> int:
     """Rewrite sealed hot files in which half the rows or more are dead; returns the rows that went.
 
-    A sealed file is audited against the files that share its keys, with slim columns only.
+    ``files`` sealed files are audited, going on from where the last call ended (all: None), each against the files that
+    share its keys, with slim columns only.
     """
     zones = list(store.snapshot().zones)
-    sealed = [z for z in zones if z.tier == "hot" and not mergeable(z, store.config)]
+    sealed = sorted((z for z in zones if z.tier == "hot" and not mergeable(z, store.config)), key=lambda z: z.id)
+    if files is not None and len(sealed) > files:
+        turn = [z for z in sealed if z.id > store.audited] + [z for z in sealed if z.id <= store.audited]
+        sealed = turn[:files]
     if not sealed:
         return 0
-    near = [z for z in zones if any(keys_overlap(z, s) for s in sealed)]
-    name = F.col("_metadata.file_path")
-    slim = store.log(near).select("key", "seq", "op", name.alias("_file"))
-    counts = dead_rows(slim).groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dead").cast("long")).alias("dead"))
-    bad = {r["_file"]: r["dead"] for r in counts.where("dead * 2 >= n").collect()}
-    chosen = [z for z in sealed if z.file in bad]
+    store.audited = sealed[-1].id
+    touches = Overlap(sealed)
+    near = [z for z in zones if touches(z)]
+    slim = store.log(near, file=True).select("key", "seq", "op", "_file")
+    marked = dead_rows(slim)
+    counts = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dead").cast("long")).alias("dead"))
+    bad = {store.files.full(r["_file"]) for r in counts.where("dead * 2 >= n").collect()}
+    chosen = [z for z in sealed if store.files.full(z.file) in bad]
     if not chosen:
         return 0
-    marks = dead_rows(slim).where("not dead").select("key", "seq")
-    rows = store.log(chosen).join(marks, ["key", "seq"], "left_semi")
-    before = sum(z.count for z in chosen)
-    new = swap(store, chosen, rows, folded=False)
-    n = before - sum(z.count for z in new)
-    store.commits.add(store.snapshot().counted(rows_reclaimed=n))
-    return n
+    rows = store.log(chosen).join(marked.where("not dead").select("key", "seq"), ["key", "seq"], "left_semi")
+    new = swap(store, chosen, rows, fewer="rows_reclaimed")
+    return sum(z.count for z in chosen) - sum(z.count for z in new)
 
 
 def tier(store: Store, now: int) -> int:
-    """Move files hot to cold and cold to remote by age: copy, commit, and leave the old copy to the vacuum."""
+    """Hot to cold and cold to remote by age. Where the colder tier has a root of its own the executors copy the files
+    there, the commit points to the copies, and the old ones are left to the vacuum; otherwise files stay in place."""
     c = store.config
     snap = store.snapshot()
 
@@ -187,50 +223,86 @@ def tier(store: Store, now: int) -> int:
     moved: dict[int, Zone] = {}
     for z in snap.zones:
         if to := target(z):
-            root = c.remote_root if to == "remote" else f"{store.root}/cold"
+            root = c.remote_root if to == "remote" else c.cold_root
             folder, name = z.file.rsplit("/", 2)[1:]
-            store.files.move(z.file, f"{root}/{folder}/{name}")
-            moved[z.id] = replace(z, tier=to, file=store.files.full(f"{root}/{folder}/{name}"))
+            moved[z.id] = replace(z, tier=to, file=store.files.full(f"{root}/{folder}/{name}") if root else z.file)
+    copies = [(store.files.full(z.file), moved[z.id].file) for z in snap.zones if z.id in moved and moved[z.id].file != z.file]
+    if copies:
+        copy_on_executors(store.spark, copies)
     if moved:
         store.commits.add(replace(snap, zones=tuple(moved.get(z.id, z) for z in snap.zones)).counted(files_tiered=len(moved)))
     return len(moved)
 
 
 def migrate(store: Store) -> int:
-    """Rewrite data of older formats. There is one format so far."""
-    return 0
+    """Rewrite one hot file that lacks a promoted column or postings that the store has by now; returns how many."""
+    old = [z for z in store.snapshot().zones if z.tier == "hot" and (not set(store.config.promoted) <= set(z.promoted) or (store.config.index_text and z.texts and z.index is None))]
+    for z in old[:1]:
+        swap(store, [z], store.log([z]), unique=z.unique, files_migrated=1)
+    return len(old[:1])
 
 
 def purge_key(store: Store, key: str) -> None:
     """Remove every stored write of a key. A key with increments is refused: their total can't be told apart from it."""
     store.flush()
     zones = [z for z in store.snapshot().zones if z.min_key.encode() <= key.encode() <= z.max_key.encode()]
-    hit = store.log(zones).where(F.col("key") == key) if zones else None
-    if hit is None or hit.isEmpty():
-        return
-    if not hit.where("op = 'incr'").isEmpty():
+    # A row for each file that holds the key.
+    found = store.log(zones, file=True).where(F.col("key") == key).groupBy("_file").agg(F.max(F.col("op") == "incr").alias("incr")).collect() if zones else []
+    if any(r["incr"] for r in found):
         raise ValueError(f"{key} holds increments and can't be purged")
-    name = F.col("_metadata.file_path")
-    holds = {r["f"] for r in store.log(zones).select("key", name.alias("f")).where(F.col("key") == key).select("f").distinct().collect()}
-    chosen = [z for z in zones if z.file in holds]
-    swap(store, chosen, store.log(chosen).where(F.col("key") != key), folded=False, purges=1)
+    holds = {store.files.full(r["_file"]) for r in found}
+    if chosen := [z for z in zones if store.files.full(z.file) in holds]:
+        swap(store, chosen, store.log(chosen).where(F.col("key") != key), purges=1)
 
 
 def sweep_blobs(store: Store) -> int:
-    """Delete blob folders that hold nothing a commit lists. Writers that have not committed must be done."""
-    live = {f.rstrip("/").rsplit("/", 1)[1] for f in store.snapshot().blobs.values()}
-    return _sweep(store, f"{store.root}/blobs", lambda name: name not in live)
-
-
-def vacuum(store: Store) -> int:
-    """Delete data folders without a live file, here and in the remote tier; returns how many."""
-    live = {z.file.rsplit("/", 2)[1] + "@" + z.tier for z in store.snapshot().zones}
-    roots = {"hot": f"{store.root}/hot", "cold": f"{store.root}/cold"} | ({"remote": store.config.remote_root} if store.config.remote_root else {})
-    return sum(_sweep(store, r, lambda name, t=t: f"{name}@{t}" not in live) for t, r in roots.items())
-
-
-def _sweep(store: Store, root: str, dead: Callable[[str], bool]) -> int:
-    names = [n for n in store.files.names(root) if dead(n)]
-    for n in names:
-        store.files.delete(f"{root}/{n}")
-    return len(names)
+    """Rewrite blob folders that hold deleted contents without them, and drop the deletions; returns the rows that went."""
+    now = store.snapshot()
+    if not any(b.gone for b in now.blobs):
+        return 0
+    log = store.blob_log(now)
+    last = log.groupBy("id").agg(F.max_by("gone", "number").alias("gone"), F.max("number").alias("number"))
+    # A row per folder: contents that are deleted, or were put again later.
+    dead = log.where("not gone").join(last.withColumnRenamed("number", "top").withColumnRenamed("gone", "dead"), "id").where("dead or number < top")
+    hit = {r["folder"] for r in dead.select("folder").distinct().collect()}
+    old = [b for b in now.blobs if not b.gone and b.folder in hit]
+    kept = tuple(b for b in now.blobs if not b.gone and b.folder not in hit)
+    if old:
+        folder = store.new_folder("blobs", now)
+        live = store._blob_rows([b.folder for b in old]).join(last.where("not gone").select("id"), "id", "left_semi").groupBy("id").agg(F.any_value("content").alias("content"))
+        # What is kept elsewhere is not written again.
+        if kept:
+            live = live.join(store.blobs(replace(now, blobs=kept)), "id", "left_anti")
+        live.repartitionByRange("id").sortWithinPartitions("id").write.option("compression", "zstd").option("parquet.bloom.filter.enabled#id", "true").parquet(folder)
+        r = store._blob_rows([folder]).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        if r["n"]:
+            kept = (*kept, replace(old[0], folder=folder, number=max(b.number for b in now.blobs) + 1, low=r["low"], high=r["high"], rows=r["n"]))
+    store.commits.add(replace(now, blobs=kept))
+    return sum(b.rows for b in now.blobs if not b.gone) - sum(b.rows for b in kept)
+
+
+def vacuum(store: Store, grace: int | None = None, *, tiers: tuple[str, ...] = ("hot", "cold", "remote")) -> int:
+    """Delete files that no commit lists and that have not changed for ``grace`` nanoseconds (so that running reads and
+    writes keep theirs): data, postings, blobs and commits behind a checkpoint. Returns deleted data files."""
+    before = time.time_ns() - (store.config.vacuum_grace if grace is None else grace)
+    now, files = store.snapshot(), store.files
+    live = {files.full(z.file) for z in now.zones}
+    roots = {"hot": f"{store.root}/hot", "cold": store.config.cold_root, "remote": store.config.remote_root}
+    n = 0
+    for name in tiers:
+        for folder in files.entries(roots[name]) if roots[name] else []:
+            inside = list(files.tree(folder.path)) if folder.is_dir else [folder]
+            dead = [e for e in inside if e.path not in live]
+            if any(e.changed > before for e in inside):
+                continue
+            n += sum(e.name.endswith(".parquet") for e in dead)
+            for e in [folder] if len(dead) == len(inside) else dead:
+                files.delete(e.path)
+    if len(tiers) == 3:
+        used = {"index": {z.index for z in now.zones}, "blobs": {b.folder for b in now.blobs}}
+        for kind, kept in used.items():
+            for folder in files.entries(f"{store.root}/{kind}"):
+                if folder.changed <= before and folder.path not in {files.full(k) for k in kept if k}:
+                    files.delete(folder.path)
+        store.commits.trim(before)
+    return n

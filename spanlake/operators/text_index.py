@@ -9,15 +9,22 @@ from spanlake.functions.text import contains_all, fts_tokens, like, like_constra
 
 
 def postings(state: DataFrame) -> DataFrame:
-    """token, key: a row for each distinct token of each record. Write it sorted by token."""
+    """token, key: a row for each distinct token of each record."""
     return state.where("text is not null").select("key", F.explode(F.array_distinct(fts_tokens(F.col("text")))).alias("token")).select("token", "key")
 
 
+def write_postings(log: DataFrame, folder: str) -> None:
+    """Write the postings of a log sorted by token, so that a read of one token touches few row groups."""
+    sorted_ = postings(log).repartitionByRange("token", "key").sortWithinPartitions("token", "key")
+    sorted_.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(folder)
+
+
 def dictionary(state: DataFrame) -> DataFrame:
-    """token, n (occurrences), docs (records)."""
-    each = state.where("text is not null").select("key", F.explode(fts_tokens(F.col("text"))).alias("token"))
-    per_key = each.groupBy("token", "key").agg(F.count(F.lit(1)).alias("n"))
-    return per_key.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """token, n (occurrences), docs (records), in one aggregation: a record gives each token, and each different one."""
+    tokens = fts_tokens(F.col("text"))
+    row = lambda n, docs: lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
+    each = state.where("text is not null").select(F.explode(F.concat(F.transform(tokens, row(1, 0)), F.transform(F.array_distinct(tokens), row(0, 1)))).alias("e"))
+    return each.select("e.*").groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def keys_with(index: DataFrame, tokens: list[str], prefixes: list[str] = ()) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Resolution looks at all writes of a key, so a file whose rows can't match may still hide older rows that do. Files are
 pruned by key range always; by other zones only where nothing they could hide is read. A file that can only hide rows is
-read with slim columns (key, seq, op).
+read with slim columns (key, seq, op). Choices run in n log n steps over the zones.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-from typing import Any
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ LABEL_VALUES = 64
 @dataclass(frozen=True)
 class Zone:
     """What a file holds. ``labels``: values by name, None if over LABEL_VALUES. ``numerics``: (min, max) by name, None if
-    all are NaN."""
+    all are NaN. ``promoted``: promoted columns that the file has; ``texts``: rows with text; ``index``: the folder of its
+    postings, if it has some; ``unique``: no key occurs twice."""
 
     file: str
     id: int
@@ -40,28 +42,61 @@ class Zone:
     tier: str = "hot"
     labels: dict[str, list[str] | None] = field(default_factory=dict)
     numerics: dict[str, list[float] | None] = field(default_factory=dict)
+    promoted: list[str] = field(default_factory=list)
+    texts: int = 0
+    index: str | None = None
+    unique: bool = False
 
-    def to_json(self) -> dict[str, Any]:
-        return asdict(self)
 
-
-def zone_maps(log: DataFrame, file: str) -> DataFrame:
-    """One row per value of column ``file``: counts, ranges, label values (null beyond LABEL_VALUES) and metric ranges."""
-    base = log.groupBy(file).agg(
+def zone_rows(log: DataFrame, file: str) -> DataFrame:
+    """A row per value of column ``file``: counts and ranges."""
+    return log.groupBy(file).agg(
         F.count(F.lit(1)).alias("count"),
         *[f(c).alias(f"{n}_{c}") for c in ("ts", "key", "seq") for n, f in (("min", F.min), ("max", F.max))],
         F.max(F.col("op") == "incr").alias("has_incr"),
         F.max(F.col("op") == "del").alias("has_del"),
+        F.count("text").alias("texts"),
     )
-    values = log.select(file, F.explode("labels").alias("name", "value")).distinct()
-    # Distinct values are counted before any list is made, so a list never holds more than LABEL_VALUES.
-    sizes = values.groupBy(file, "name").agg(F.count(F.lit(1)).alias("n"))
-    few = values.join(sizes.where(F.col("n") <= LABEL_VALUES), [file, "name"], "left_semi").groupBy(file, "name").agg(F.sort_array(F.collect_list("value")).alias("values"))
-    labels = sizes.join(few, [file, "name"], "left").groupBy(file).agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("labels"))
-    m = log.select(file, F.explode("numerics").alias("name", "v"))
-    m = m.groupBy(file, "name").agg(F.min(F.when(~F.isnan("v"), F.col("v"))).alias("min"), F.max(F.when(~F.isnan("v"), F.col("v"))).alias("max"))
-    metrics = m.groupBy(file).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("min", "max")))).alias("numerics"))
-    return base.join(labels, file, "left").join(metrics, file, "left")
+
+
+def zone_entries(log: DataFrame, file: str) -> DataFrame:
+    """A row per file and label or metric (``is_label``): sorted label values, null beyond LABEL_VALUES, or min and max.
+
+    One pass; values are counted before any list is made, and a rank limit keeps lists from being longer.
+    """
+    kind = "array<struct<is_label:boolean,name:string,value:string,v:double>>"
+    entry = lambda yes, value, v: lambda e: F.struct(F.lit(yes).alias("is_label"), e["key"].alias("name"), value(e).alias("value"), v(e).alias("v"))
+    none = lambda t: lambda e: F.lit(None).cast(t)
+    labels = F.transform(F.map_entries("labels"), entry(True, lambda e: e["value"], none("double")))
+    metrics = F.transform(F.map_entries("numerics"), entry(False, none("string"), lambda e: F.when(~F.isnan(e["value"]), e["value"])))
+    each = log.select(file, F.explode(F.concat(*[F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (labels, metrics)])).alias("e")).select(file, "e.*")
+    per = each.groupBy(file, "is_label", "name", "value").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    rank = F.row_number().over(Window.partitionBy(file, "is_label", "name").orderBy("value"))
+    per = per.withColumn("_rank", rank).where(F.col("_rank") <= LABEL_VALUES + 1)
+    out = per.groupBy(file, "is_label", "name").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("value")).alias("_values"), F.max("low").alias("low"), F.max("high").alias("high"))
+    return out.select(file, "is_label", "name", F.when(F.col("is_label") & (F.col("_n") <= LABEL_VALUES), F.col("_values")).alias("values"), "low", "high")
+
+
+def zone_maps(log: DataFrame, file: str) -> DataFrame:
+    """:func:`zone_rows` with maps of label values and of metric ranges."""
+    e = zone_entries(log, file)
+    pairs = lambda test, value: F.map_from_entries(F.collect_list(F.when(test, F.struct("name", value))))
+    maps = e.groupBy(file).agg(pairs(F.col("is_label"), "values").alias("labels"), pairs(~F.col("is_label"), F.struct(F.col("low").alias("min"), F.col("high").alias("max"))).alias("numerics"))
+    return zone_rows(log, file).join(maps, file, "left")
+
+
+def zones_of(log: DataFrame, file: str, make: Callable[[str], dict]) -> list[Zone]:
+    """The zones of the files of a log, by first key. ``make`` gives the fields that the rows don't: id and the like. What
+    comes to the driver is a row per file and a row per file and name."""
+    names: dict[str, dict[str, dict]] = {}
+    for r in zone_entries(log, file).collect():
+        own = names.setdefault(r[file], {"labels": {}, "numerics": {}})
+        if r["is_label"]:
+            own["labels"][r["name"]] = r["values"]
+        else:
+            own["numerics"][r["name"]] = None if r["low"] is None else [r["low"], r["high"]]
+    rows = sorted((r.asDict() for r in zone_rows(log, file).collect()), key=lambda r: r["min_key"].encode())
+    return [Zone(file=(f := r.pop(file)), **r, **names.get(f, {}), **make(f)) for r in rows]
 
 
 def may_match(zone: Zone, spec: QuerySpec) -> bool:
@@ -73,6 +108,10 @@ def may_match(zone: Zone, spec: QuerySpec) -> bool:
     for name, value in spec.labels.items():
         if name not in zone.labels or (zone.labels[name] is not None and value not in zone.labels[name]):
             return False
+    if spec.after is not None:
+        ascending = spec.order_by is not None and not spec.order_by.descending
+        if (zone.max_ts < spec.after[0]) if ascending else (zone.min_ts > spec.after[0]):
+            return False
     for name, (low, high) in spec.ranges.items():
         span = zone.numerics.get(name)
         if span is None or not (span[0] <= high and span[1] >= low):
@@ -93,8 +132,59 @@ def keys_overlap(a: Zone, b: Zone) -> bool:
 
 def disjoint(zones: list[Zone]) -> bool:
     """Whether no two files share a stretch of keys."""
-    z = sorted(zones, key=lambda x: x.min_key.encode())
-    return all(a.max_key.encode() < b.min_key.encode() for a, b in zip(z, z[1:], strict=False))
+    return len(alone(zones)) == len(zones)
+
+
+class Overlap:
+    """Answers which key ranges overlap one of those of ``zones``, in logarithmic time each."""
+
+    def __init__(self, zones: Iterable[Zone]) -> None:
+        ranges = sorted((z.min_key.encode(), z.max_key.encode()) for z in zones)
+        self.lows, self.tops = [a for a, _ in ranges], []
+        for _, b in ranges:
+            self.tops.append(max(b, self.tops[-1]) if self.tops else b)
+
+    def __call__(self, z: Zone) -> bool:
+        # Of the ranges that begin at or before z's end, one must reach z's beginning.
+        k = bisect_right(self.lows, z.max_key.encode())
+        return k > 0 and self.tops[k - 1] >= z.min_key.encode()
+
+
+def alone(zones: list[Zone]) -> set[int]:
+    """Ids of the files that share no stretch of keys with another one."""
+    z = sorted(zones, key=lambda x: (x.min_key.encode(), x.max_key.encode()))
+    out, top = set(), None
+    for k, x in enumerate(z):
+        if (top is None or top < x.min_key.encode()) and (k + 1 == len(z) or z[k + 1].min_key.encode() > x.max_key.encode()):
+            out.add(x.id)
+        top = max(top, x.max_key.encode()) if top is not None else x.max_key.encode()
+    return out
+
+
+def hiders(rest: list[Zone], read: list[Zone]) -> list[Zone]:
+    """Those of ``rest`` that can hide rows of ``read``: they share keys with a file that has older rows.
+
+    Files to read enter by their oldest row; a tree over first keys holds the furthest last key of those that are in.
+    """
+    lows = sorted({r.min_key.encode() for r in read})
+    tree: list[bytes | None] = [None] * (len(lows) + 1)
+    waiting = sorted(read, key=lambda r: r.min_seq, reverse=True)
+    found = set()
+    for z in sorted(rest, key=lambda z: z.max_seq):
+        while waiting and waiting[-1].min_seq < z.max_seq:
+            r = waiting.pop()
+            k, top = bisect_left(lows, r.min_key.encode()) + 1, r.max_key.encode()
+            while k <= len(lows):
+                if tree[k] is None or tree[k] < top:
+                    tree[k] = top
+                k += k & -k
+        k, low = bisect_right(lows, z.max_key.encode()), z.min_key.encode()
+        while k:
+            if tree[k] is not None and tree[k] >= low:
+                found.add(z.id)
+                break
+            k -= k & -k
+    return [z for z in rest if z.id in found]
 
 
 def plan_files(zones: list[Zone], spec: QuerySpec) -> tuple[list[Zone], list[Zone]]:
@@ -103,9 +193,15 @@ def plan_files(zones: list[Zone], spec: QuerySpec) -> tuple[list[Zone], list[Zon
     if any(z.has_incr for z in near):
         return near, []  # a total can match where none of its parts does
     read = [z for z in near if may_match(z, spec)]
-    rest = [z for z in near if not may_match(z, spec)]
-    # Sorted by first key; each file is compared with the read files only.
-    return read, [z for z in rest if any(keys_overlap(z, r) and z.max_seq > r.min_seq for r in read)]
+    ids = {z.id for z in read}
+    return read, hiders([z for z in near if z.id not in ids], read)
+
+
+def newest_until(zones: list[Zone], k: int) -> tuple[list[Zone], int | None]:
+    """The k files with the latest times, and the latest time of all others (None if there are none): a newest-first page
+    whose last row is later needs no other file."""
+    z = sorted(zones, key=lambda x: x.max_ts, reverse=True)
+    return z[:k], z[k].max_ts if k < len(z) else None
 
 
 def suffix_max(zones: DataFrame) -> DataFrame:

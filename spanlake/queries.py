@@ -14,7 +14,7 @@ from spanlake.operators.fold import fold, last_writes, resolve
 from spanlake.operators.reclaim import dead_per_file, dead_rows
 from spanlake.operators.retention import Policy, kept
 from spanlake.plans.spec import TS_ASC, TS_DESC, OrderBy, QuerySpec
-from spanlake.plans.zones import disjointness, suffix_max, zone_maps
+from spanlake.plans.zones import disjointness, may_match, suffix_max, zone_maps, zones_of
 from spanlake.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,23 +281,11 @@ def zone_map_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT file FROM zones WHERE max_ts >= {LO} AND min_ts <= {HI} AND max_value >= 99 AND min_key < 's/1' AND max_key >= 's/0'", "zones")
 def zone_prune_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that a query on time, label and metric must read, by their zones."""
+    """Files that a query on time, label and metric must read, by their zones: a row per file, as in a commit."""
     spec = QuerySpec(time_range=(LO, HI), ranges={"value": (99, 1000)}, labels={"event_type": "view"}, key_prefix="s/0")
-    return zone_condition(zones(spark, sf_dir), spec).select("file")
-
-
-def zone_condition(z: DataFrame, spec: QuerySpec) -> DataFrame:
-    """:func:`spanlake.plans.zones.may_match` as a condition over zone rows."""
-    test = F.lit(True)
-    if spec.time_range:
-        test = test & (F.col("max_ts") >= spec.time_range[0]) & (F.col("min_ts") <= spec.time_range[1])
-    for n, v in spec.labels.items():
-        test = test & F.array_contains(F.map_keys("labels"), n) & F.coalesce(F.array_contains(F.col("labels")[n], v), F.lit(True))
-    for n, (low, high) in spec.ranges.items():
-        test = test & (F.col("numerics")[n]["max"] >= float(low)) & (F.col("numerics")[n]["min"] <= float(high))
-    if spec.key_prefix:
-        test = test & (F.col("max_key") >= spec.key_prefix) & (F.substring("min_key", 1, len(spec.key_prefix)) <= spec.key_prefix)
-    return z.where(test)
+    number = lambda f: {"id": int(f), "bytes": 0, "created": 0}
+    found = zones_of(in_files(adapters.spans(spark, sf_dir)), "file", number)
+    return spark.createDataFrame([(z.id,) for z in found if may_match(z, spec)], "file long")
 
 
 @query("SELECT file, lead(min_key) OVER (ORDER BY min_key) > max_key AS is_disjoint FROM zones", "zones")

@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import SparkSession
 
 
+@dataclass(frozen=True)
+class Entry:
+    """A file or folder: its name, full path, last change in nanoseconds and size in bytes."""
+
+    name: str
+    path: str
+    is_dir: bool
+    changed: int
+    size: int
+
+
 class Files:
     def __init__(self, spark: SparkSession) -> None:
         self.jvm, self.conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -22,13 +36,25 @@ class Files:
         fs, p = self._at(path)
         return fs.exists(p)
 
-    def names(self, path: str) -> list[str]:
+    def entries(self, path: str) -> list[Entry]:
+        """What a folder holds, by name; nothing if it is not there."""
         fs, p = self._at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        found = fs.listStatus(p) if fs.exists(p) else []
+        return sorted((Entry(s.getPath().getName(), s.getPath().toString(), s.isDirectory(), s.getModificationTime() * 10**6, s.getLen()) for s in found), key=lambda e: e.name)
+
+    def names(self, path: str) -> list[str]:
+        return [e.name for e in self.entries(path)]
 
     def sizes(self, path: str) -> dict[str, int]:
-        fs, p = self._at(path)
-        return {s.getPath().toString(): s.getLen() for s in fs.listStatus(p) if s.isFile()} if fs.exists(p) else {}
+        return {e.path: e.size for e in self.entries(path) if not e.is_dir}
+
+    def tree(self, path: str) -> Iterator[Entry]:
+        """All files below a folder."""
+        for e in self.entries(path):
+            if e.is_dir:
+                yield from self.tree(e.path)
+            else:
+                yield e
 
     def read(self, path: str) -> bytes:
         fs, p = self._at(path)
@@ -39,7 +65,8 @@ class Files:
             stream.close()
 
     def create(self, path: str, data: bytes) -> bool:
-        """Write a file that must not exist yet; False if it does."""
+        """Write a file that must not exist yet; False if it does. Exclusive where the file system's create without
+        overwrite is (local, HDFS, ABFS, GCS, S3 with conditional writes)."""
         fs, p = self._at(path)
         try:
             stream = fs.create(p, False)
@@ -55,7 +82,26 @@ class Files:
         fs, p = self._at(path)
         return fs.delete(p, True)
 
-    def move(self, source: str, target: str) -> None:
-        """Copy to any file system; the source stays until a vacuum."""
-        (a, p), (b, q) = self._at(source), self._at(target)
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(a, p, b, q, False, self.conf)
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)
+
+
+def copy_on_executors(spark: SparkSession, pairs: list[tuple[str, str]]) -> None:
+    """Copy (source, target) files, each by one task; the driver holds names only."""
+
+    def run(batches):
+        for b in batches:
+            for source, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                (a, p), (z, q) = _open(source), _open(target)
+                z.create_dir(q.rpartition("/")[0], recursive=True)
+                with a.open_input_stream(p, compression=None) as data, z.open_output_stream(q, compression=None) as out:
+                    while chunk := data.read(16 << 20):
+                        out.write(chunk)
+            yield b.slice(0, 0)
+
+    spark.createDataFrame(pairs, "source string, target string").repartition(max(1, min(len(pairs), 2000))).mapInArrow(run, "source string, target string").count()

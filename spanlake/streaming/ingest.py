@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import threading
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,6 +27,28 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, *, order: list[str]
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime=interval)).start()
 
 
-def upkeep(store: Store) -> None:
-    """What a scheduler calls each interval."""
-    store.maintain()
+class Ticker:
+    """Calls ``store.maintain`` each ``seconds``, the first time after one interval; ticks that fall into a running one are
+    skipped. An error stops it and is raised by :meth:`stop`."""
+
+    def __init__(self, store: Store, seconds: float) -> None:
+        self.store, self.seconds, self.error = store, seconds, None
+        self._end = threading.Event()
+        self._thread = threading.Thread(target=self._run, name="spanlake-ticker", daemon=True)
+        self._thread.start()
+
+    def _run(self) -> None:
+        due = time.monotonic() + self.seconds
+        while not self._end.wait(max(0.0, due - time.monotonic())):
+            try:
+                self.store.maintain()
+            except Exception as e:
+                self.error = e
+                return
+            due += self.seconds * max(1, math.ceil((time.monotonic() - due) / self.seconds))
+
+    def stop(self) -> None:
+        self._end.set()
+        self._thread.join()
+        if self.error is not None:
+            raise self.error

@@ -1,33 +1,41 @@
 """The store through its life: writes, files, commits, upkeep. Reads must not change under any of it."""
 
 import hashlib
+import time
 from dataclasses import replace
 
 import pytest
 
 from spanlake.operators import maintenance as m
 from spanlake.operators.retention import Policy
-from spanlake.plans.spec import TS_DESC, QuerySpec
+from spanlake.plans.spec import TS_DESC, OrderBy, QuerySpec
+from spanlake.sources import commits
 from spanlake.sources.commits import ConflictError, CorruptError
 from spanlake.sources.store import Config, Store
 from tests import oracle
 from tests.test_reads import SPECS, history, view
 
 HOUR = 3600 * 10**9
+RECORD = "key string, ts long, labels map<string,string>, numerics map<string,double>, payload binary, text string"
 
 
 def apply(store, writes):
-    batch = []
-    for op, key, ts, labels, numerics, text in writes:
-        batch.append((key, ts, labels, numerics, b"p" if op == "put" else b"", text, op))
-    store._add(batch)
+    store._add([(key, ts, labels, numerics, b"p" if op == "put" else b"", text, op) for op, key, ts, labels, numerics, text in writes])
 
 
 def same(store, want, specs=None):
-    for spec in specs if specs is not None else [SPECS[k] for k in (0, 1, 3, 5, 8, 11)]:
+    for spec in specs if specs is not None else [SPECS[k] for k in (0, 3, 5, 9)]:
         got = sorted(view(store.scan(spec).collect()), key=str)
         assert got == sorted(view(oracle.scan(want, spec)), key=str), spec
-        assert store.count(spec) == len(got)
+        assert store.count(spec) == len(oracle.scan(want, replace(spec, limit=0)))
+
+
+def put_all(store, rows):
+    store.put_batch([(k, ts, {}, {}, b"", None) for k, ts in rows])
+
+
+def keys(store, spec=None):
+    return {r["key"] for r in store.scan(spec or QuerySpec()).collect()}
 
 
 @pytest.mark.parametrize("ops", [True, False])
@@ -40,18 +48,33 @@ def test_reads_survive_upkeep(spark, tmp_path, ops):
     same(store, want)
     before = store.stats()["rows_stored"]
     m.compact(store, 0)
-    same(store, want)
+    same(store, want, [QuerySpec(), SPECS[5]])
     m.reclaim(store)
     same(store, want, [QuerySpec(), SPECS[2]])
     m.compact_all(store, 0)
     assert store.stats()["rows_stored"] == len(want) < before
     same(Store(spark, f"file://{tmp_path}/s", cfg), want)
-    store.vacuum()
+    assert store.vacuum() == 0 < store.vacuum(0)
     same(store, want, [QuerySpec()])
     key = next(iter(want))
     assert store.get(key)["key"] == key and store.get("nope") is None
 
 
+def test_promotion_after_reopening(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    writes = history(200, 5, ops=False)
+    apply(Store(spark, root), writes[:120])
+    store = Store(spark, root, Config(promote_labels=("grade",), promote_metrics=("hours",)))
+    apply(store, writes[120:])
+    want = oracle.resolve(writes)
+    specs = [SPECS[2], SPECS[5], QuerySpec(labels={"grade": "b"}, order_by=OrderBy("hours"), limit=5)]
+    same(store, want, specs)
+    assert m.migrate(store) == 1 and m.migrate(store) == 0
+    same(store, want, specs)
+    m.compact_all(store, 0)
+    same(store, want, specs)
+
+
 def test_plain_store_skips_the_fold(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", Config(promote_labels=("grade",)))
     apply(store, history(200, ops=False))
@@ -72,6 +95,24 @@ def test_a_pruned_file_still_hides(spark, tmp_path):
     assert store.count(QuerySpec()) == 0 and store.get("s/x") is None
 
 
+def test_newest_pages_read_few_files(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(early_files=3))
+    for k in range(12):
+        put_all(store, [(f"k{(k * 5 + i) % 23:02d}", 10 * k + i) for i in range(5)])
+    put_all(store, [("k01", 3)])  # the newest write of a key with an early time
+    want = {}
+    for k in range(12):
+        want |= {f"k{(k * 5 + i) % 23:02d}": 10 * k + i for i in range(5)}
+    want["k01"] = 3
+    page = sorted(want.items(), key=lambda r: (-r[1], r[0]))
+    for limit, after in ((4, None), (9, (page[3][1], page[3][0])), (40, None)):
+        spec = QuerySpec(order_by=TS_DESC, limit=limit, after=after)
+        start = 0 if after is None else 4
+        assert [(r["key"], r["ts"]) for r in store.scan(spec).collect()] == page[start : start + limit]
+    zones, hiding = store._newest_files(store.snapshot(), list(store.snapshot().zones), QuerySpec(order_by=TS_DESC, limit=4))
+    assert len(zones) == 3 and len(hiding) < 10
+
+
 def test_counters(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.put("b", 1, {"kind": "ledger"}, {"cost": 10.0})
@@ -86,11 +127,11 @@ def test_counters(spark, tmp_path):
 
 def test_a_delete_in_a_newer_run_survives_compaction(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
-    store.put_batch([("a", 1, {}, {}, b"", None), ("b", 1, {}, {}, b"", None)])
+    put_all(store, [("a", 1), ("b", 1)])
     store.delete("a", 2)
     store.put("c", 3)
     m.compact(store, 0, list(store.snapshot().zones)[1:])
-    assert {r["key"] for r in store.scan(QuerySpec()).collect()} == {"b", "c"}
+    assert keys(store) == {"b", "c"}
 
 
 def test_retention(spark, tmp_path):
@@ -100,9 +141,9 @@ def test_retention(spark, tmp_path):
     for job in (lambda s: m.compact_all(s, now), lambda s: m.groom(s, now)):
         root = f"file://{tmp_path}/{id(job)}"
         store = Store(spark, root, Config(retention=policy))
-        store.put_batch([(k, now - 24 * HOUR, {}, {}, b"", None) for k in ("s/keep/a", "s/old", "t/old")] + [("s/new", now, {}, {}, b"", None), ("u", now, {}, {}, b"", None)])
+        put_all(store, [(k, now - 24 * HOUR) for k in ("s/keep/a", "s/old", "t/old")] + [("s/new", now), ("u", now)])
         job(store)
-        assert {r["key"] for r in store.scan(QuerySpec()).collect()} == {"s/keep/a", "s/new", "u"}
+        assert keys(store) == {"s/keep/a", "s/new", "u"}
     assert Policy((("s/", HOUR),)).ttl("t/ancient") is None
     # An old winner must not uncover a fresh loser.
     store = Store(spark, f"file://{tmp_path}/w", Config(retention=Policy((), HOUR)))
@@ -117,31 +158,48 @@ def test_retention(spark, tmp_path):
 def test_groom_drops_whole_files(spark, tmp_path):
     now = 1000 * HOUR
     store = Store(spark, f"file://{tmp_path}/s", Config(retention=Policy((("a/", HOUR),))))
-    store.put_batch([(f"a/{k}", 5, {}, {}, b"", None) for k in range(5)])
+    put_all(store, [(f"a/{k}", 5) for k in range(5)])
     store.put("b/1", 5)
-    assert m.groom(store, now) == 1
-    assert {r["key"] for r in store.scan(QuerySpec()).collect()} == {"b/1"}
+    assert m.groom(store, now) == 1 and store.stats()["rows_expired"] == 5
+    assert keys(store) == {"b/1"}
+
+
+def test_groom_beside_cold_files(spark, tmp_path):
+    now = 1000 * HOUR
+    store = Store(spark, f"file://{tmp_path}/s", Config(retention=Policy((), HOUR), hot_ttl=HOUR))
+    put_all(store, [("a", now), ("b", now), ("c", now)])
+    assert m.tier(store, time.time_ns() + 2 * HOUR) == 1
+    put_all(store, [("a", 1), ("b", now), ("d", 1)])  # a's newest write has expired; the cold one has not
+    assert m.groom(store, now) == 0
+    assert keys(store) == {"b", "c"}
+    hot = [z for z in store.snapshot().zones if z.tier == "hot"]
+    assert sum(z.count for z in hot) == 2 and store.log(hot).where("op = 'del'").count() == 1
 
 
 def test_tiers(spark, tmp_path):
-    cfg = Config(hot_ttl=HOUR, remote_ttl=2 * HOUR, remote_root=f"file://{tmp_path}/far")
+    cfg = Config(hot_ttl=HOUR, remote_ttl=2 * HOUR, cold_root=f"file://{tmp_path}/cold", remote_root=f"file://{tmp_path}/far")
     store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(100, ops=False)
     apply(store, writes)
     later = store.snapshot().zones[0].created + 10 * HOUR
-    for name in ("cold", "remote"):
-        assert m.tier(store, later) == 1 and store.stats()[f"files_{name}"] == 1
+    for name in ("cold", "far"):
+        assert m.tier(store, later) == 1 and store.snapshot().zones[0].file.startswith(f"file:{tmp_path}/{name}/")
         same(store, oracle.resolve(writes), [QuerySpec(), SPECS[2]])
-    assert store.vacuum() == 2
+    assert store.stats()["files_remote"] == 1 and store.vacuum(0) == 2
     same(store, oracle.resolve(writes), [QuerySpec()])
+    # Without a root of its own the colder tier leaves files where they are.
+    store = Store(spark, f"file://{tmp_path}/t", Config(hot_ttl=HOUR))
+    store.put("a", 1)
+    file = store.snapshot().zones[0].file
+    assert m.tier(store, later) == 1 and [(z.tier, z.file) for z in store.snapshot().zones] == [("cold", file)] and store.vacuum(0) == 0
 
 
 def test_purge(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
-    store.put_batch([("a", 1, {}, {}, b"1", None), ("b", 1, {}, {}, b"", None)])
+    put_all(store, [("a", 1), ("b", 1)])
     store.put("a", 2)
     store.purge_key("a")
     store.purge_key("a")
-    assert store.get("a") is None and store.log().where("key = 'a'").count() == 0 and store.count(QuerySpec()) == 1
+    assert store.get("a") is None and store.log().where("key = 'a'").count() == 0 and store.count(QuerySpec()) == 1 and store.stats()["purges"] == 1
 
 
 def test_blobs(spark, tmp_path):
@@ -150,15 +208,26 @@ def test_blobs(spark, tmp_path):
     assert ids == [hashlib.sha256(x).hexdigest() for x in (b"abc", b"abc", b"")]
     assert store.get_blob(ids[0]) == b"abc" and store.get_blob(ids[2]) == b"" and store.stats()["blobs"] == 2
     assert store.get_blob("x") is None and store.get_blob("0" * 64) is None
-    store.files.delete(store.snapshot().blobs[ids[2]])
+    more = spark.createDataFrame([(bytearray(x),) for x in (b"abc", b"new", b"new", b"old")] + [(None,)], "content binary")
+    got = sorted(r["id"] for r in store.put_blobs(more).collect())
+    assert got == sorted(hashlib.sha256(x).hexdigest() for x in (b"abc", b"new", b"old")) and store.stats()["blobs"] == 4
+    assert store.delete_blob(ids[0]) and not store.delete_blob(ids[0]) and store.get_blob(ids[0]) is None
+    store.delete_blobs(spark.createDataFrame([(hashlib.sha256(b"new").hexdigest(),), ("f" * 64,)], "id string"))
+    assert store.stats()["blobs"] == 2 and {r["id"] for r in store.blobs().collect()} == {ids[2], hashlib.sha256(b"old").hexdigest()}
+    assert store.put_blob(b"abc") == ids[0] and store.get_blob(ids[0]) == b"abc"
+    assert m.sweep_blobs(store) == 2 and m.sweep_blobs(store) == 0
+    assert store.get_blob(ids[0]) == b"abc" and store.get_blob(hashlib.sha256(b"old").hexdigest()) == b"old" and store.get_blob(hashlib.sha256(b"new").hexdigest()) is None
+    store.vacuum(0)
+    assert store.get_blob(ids[0]) == b"abc" and store.stats()["blobs"] == 3
+    for b in store.snapshot().blobs:
+        store.files.delete(b.folder)
     with pytest.raises(CorruptError):
         store.get_blob(ids[2])
-    assert store.delete_blob(ids[0]) and not store.delete_blob(ids[0]) and store.get_blob(ids[0]) is None
-    assert m.sweep_blobs(store) >= 1
 
 
-def test_commits(spark, tmp_path):
+def test_commits(spark, tmp_path, monkeypatch):
     root = f"file://{tmp_path}/s"
+    monkeypatch.setattr(commits, "CHECKPOINT_EVERY", 4)
     store = Store(spark, root)
     store.put("a", 1)
     old = store.snapshot()
@@ -166,20 +235,39 @@ def test_commits(spark, tmp_path):
     with pytest.raises(ConflictError):
         store.commits.add(old)
     store.files.create(f"{store.root}/_commits/{9:020d}.json", b'{"id": ')  # torn
-    assert store.count(QuerySpec()) == 2
+    assert store.count(QuerySpec()) == 2 and Store(spark, root).count(QuerySpec()) == 2
     store.put("c", 1)
-    assert store.snapshot().id == 10 and store.count(QuerySpec()) == 3
+    assert store.snapshot().id == 10 and store.commits.numbers("checkpoint") == [10]
+    store.put("d", 1)
+    store.delete("a", 2)
+    assert store.commits.trim(time.time_ns()) == 7 and store.commits.numbers() == [] and store.commits.numbers("checkpoint") == [12]
+    store.put("d", 3)
+    for s in (store, Store(spark, root)):
+        assert keys(s) == {"b", "c", "d"} and s.snapshot() == store.snapshot()
     store.commits.add(replace(store.snapshot(), format_version=99))
     with pytest.raises(CorruptError):
         Store(spark, root)
 
 
+def test_a_vanished_file_is_chosen_anew(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    store, other = Store(spark, root), Store(spark, root)
+    put_all(store, [("a", 1), ("b", 2)])
+    seen = other.snapshot()
+    m.compact_all(store, 0)
+    store.vacuum(0)
+    calls = iter([seen])
+    newest = other.commits.latest
+    other.snapshot = lambda: next(calls, None) or newest()  # the first read goes by the commit before the compaction
+    assert other.count(QuerySpec()) == 2
+
+
 def test_buffered_writes_and_bulk_writes(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", Config(fsync="os"))
     store.put("a", 1, {}, {"n": 1.0})
     store.put("a", 2, {}, {"n": 2.0})
     assert store.get("a")["ts"] == 2 and store.stats()["rows_buffered"] == 2 and not store.snapshot().zones
-    df = spark.createDataFrame([("a", k, {}, {"n": float(k)}, b"", None, k) for k in range(50)], "key string, ts long, labels map<string,string>, numerics map<string,double>, payload binary, text string, o long")
+    df = spark.createDataFrame([("a", k, {}, {"n": float(k)}, b"", None, k) for k in range(50)], f"{RECORD}, o long")
     store.put_batch(df, order=["o"], batch="x")
     store.put_batch(df, order=["o"], batch="x")
     assert store.get("a")["ts"] == 49 and store.stats()["rows_stored"] == 52
@@ -187,26 +275,97 @@ def test_buffered_writes_and_bulk_writes(spark, tmp_path):
         store.put_batch(df)
     with pytest.raises(ValueError):
         store.put("z", 1, {"__sl_x": "1"})
+    with pytest.raises(ValueError):
+        store.put_batch(df.withColumn("labels", __import__("pyspark").sql.functions.expr("map('__sl_x', '1')")), order=["o"])
     store.close()
     with pytest.raises(RuntimeError):
         store.put("a", 3)
 
 
+def test_no_buffered_write_is_lost_to_a_known_batch(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(fsync="os", memtable_max_records=3))
+    store.put_batch([("x", 1, {}, {}, b"", None)], batch="one")
+    store.put_batch([("x", 2, {}, {}, b"", None)], batch="one")
+    store.put("kept", 1)
+    store.flush()
+    store.put("also", 1)
+    store.put_batch([("x", 3, {}, {}, b"", None), ("y", 3, {}, {}, b"", None)], batch="one")
+    store.flush()
+    assert {(r["key"], r["ts"]) for r in store.scan(QuerySpec()).collect()} == {("x", 1), ("kept", 1), ("also", 1)}
+
+
+def test_every_nth_write_is_committed(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(fsync=3))
+    for k in range(7):
+        store.put(f"k{k}", k)
+    assert store.stats()["rows_buffered"] == 1 and store.stats()["rows_stored"] == 6 and len(keys(store)) == 7
+
+
+def test_write_order_is_dense(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = [(f"k{k % 7}", k, {}, {}, b"", None, k) for k in range(1000)]
+    for n in (1, 2):
+        store.put_batch(spark.createDataFrame(rows, f"{RECORD}, o long").repartition(5), order=["o"])
+        assert store.snapshot().next_seq == 1000 * n + 1
+    assert {(r["key"], r["ts"]) for r in store.scan(QuerySpec()).collect()} == {(f"k{k % 7}", k) for k in range(993, 1000)}
+
+
+def test_files_keep_the_byte_cap(spark, tmp_path):
+    rows = [(f"k{k:03d}", k, {}, {}, bytes(1000), None, k) for k in range(200)]
+    store = Store(spark, f"file://{tmp_path}/s", Config(max_segment_bytes=50_000))
+    store.put_batch(spark.createDataFrame(rows, f"{RECORD}, o long"), order=["o"])
+    assert max(z.count for z in store.snapshot().zones) <= 50 and sum(z.count for z in store.snapshot().zones) == 200
+    store.put_batch([r[:6] for r in rows])
+    assert max(z.count for z in store.snapshot().zones) <= 50
+
+
 def test_choose_run_and_tick(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", Config(compact_min_segments=4, hot_ttl=None))
     for k in range(4):
-        store.put_batch([(f"k{i}", k, {}, {}, b"", None) for i in range(10)])
-    assert len(m.choose_run(list(store.snapshot().zones), store.config)) == 4
+        put_all(store, [(f"k{i}", k) for i in range(10)])
+    zones = list(store.snapshot().zones)
+    assert len(m.choose_run(zones, store.config)) == 4
+    sized = lambda counts: [replace(zones[0], id=k, count=c, min_seq=k, max_seq=k) for k, c in enumerate(counts)]
+    run = lambda counts, **o: [z.id for z in m.choose_run(sized(counts), replace(store.config, **o))]
+    assert run([1, 9, 9, 9, 9, 1]) == [1, 2, 3, 4]
+    assert run([1, 1, 9, 9, 9]) == [] and run([1, 1, 9, 9, 9], compact_min_segments=2) == [2, 3, 4]
+    assert run([1, 9] * 10) == list(range(20))  # no run, but many files: all of the longest stretch
+    assert run([5], compact_min_segments=1) == [] and run([5], compact_min_segments=1, retention=Policy((), HOUR)) == [0]
     store.maintain(now=0)
     s = store.stats()
     assert s["compactions"] == 1 and s["rows_stored"] == 10 and s["write_amplification"] > 1
     assert [r["ts"] for r in store.scan(QuerySpec(order_by=TS_DESC, limit=2)).collect()] == [3, 3]
 
 
+def test_reclaim_goes_round(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(max_segment_records=10))
+    for k in range(3):
+        put_all(store, [(f"{k}{i}", 1) for i in range(10)])
+    put_all(store, [(f"{k}{i}", 2) for k in (0, 2) for i in range(4, 10)])
+    assert [m.reclaim(store, 1) for _ in range(4)] == [6, 0, 6, 0] and store.stats()["rows_reclaimed"] == 12
+    assert store.count(QuerySpec()) == 30
+
+
+def test_text_reads_go_by_the_index(spark, tmp_path):
+    cfg = Config(index_rows=1, index_keys=40)
+    store, writes = Store(spark, f"file://{tmp_path}/s", cfg), history(300, 3, ops=True)
+    apply(store, writes[:150])
+    schema = f"{RECORD}, op string, o long"
+    store.put_batch(spark.createDataFrame([(k, t, a, n, b"", x, op, i) for i, (op, k, t, a, n, x) in enumerate(writes[150:])], schema), order=["o"])
+    want = oracle.resolve(writes)
+    specs = [QuerySpec(text_match="seized"), QuerySpec(text_match="pump ok"), QuerySpec(text_like="load at%"), QuerySpec(text_like="% checked"), QuerySpec(text_match="nothing"), QuerySpec(text_match="valve", key_prefix="N/"), QuerySpec(text_like="%a%")]
+    assert store._keys_by_index(store.snapshot(), specs[0]) is not None and store._keys_by_index(store.snapshot(), specs[-1]) is None
+    assert Store(spark, store.root, replace(cfg, index_keys=3))._keys_by_index(store.snapshot(), specs[0]) is None
+    same(store, want, specs)
+    m.compact_all(store, 0)
+    same(store, want, specs[:3])
+    assert len({z.index for z in store.snapshot().zones if z.texts}) == 1
+
+
 def test_streaming_ingest(spark, tmp_path):
     from spanlake.streaming.ingest import ingest
 
-    schema = "key string, ts long, labels map<string,string>, numerics map<string,double>, payload binary, text string, o long, op string"
+    schema = f"{RECORD}, o long, op string"
     rows = [("k1", 5, {}, {"n": 1.0}, b"", None, 1, "put"), ("k1", 6, {}, {"n": 2.0}, b"", None, 2, "incr"), ("k2", 1, {}, {}, b"", None, 3, "put"), ("k2", 1, {}, {}, b"", None, 4, "del")]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     store = Store(spark, f"file://{tmp_path}/s")
@@ -214,3 +373,27 @@ def test_streaming_ingest(spark, tmp_path):
         q = ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/ck", order=["o"], available_now=True)
         q.awaitTermination(120)
     assert store.get("k1")["numerics"] == {"n": 3.0} and store.get("k2") is None and store.stats()["rows_stored"] == 4
+
+
+def test_ticker(spark, tmp_path):
+    from spanlake.streaming.ingest import Ticker
+
+    store = Store(spark, f"file://{tmp_path}/s", Config(fsync="os"))
+    store.put("a", 1)
+    ticker = Ticker(store, 0.2)
+    assert store.stats()["rows_buffered"] == 1  # the first tick comes after an interval
+    end = time.monotonic() + 30
+    while store.ticks < 2 and time.monotonic() < end:
+        time.sleep(0.1)
+    ticker.stop()
+    assert store.ticks >= 2 and store.stats()["rows_stored"] == 1
+
+
+def test_orphans_of_the_remote_tier_go_when_a_store_opens(spark, tmp_path):
+    cfg = Config(hot_ttl=HOUR, remote_ttl=HOUR, remote_root=f"file://{tmp_path}/far", vacuum_grace=0)
+    store = Store(spark, f"file://{tmp_path}/s", cfg)
+    store.put("a", 1)
+    later = store.snapshot().zones[0].created + 10 * HOUR
+    assert m.tier(store, later) == m.tier(store, later) == 1
+    store.files.create(f"file://{tmp_path}/far/orphan/x.parquet", b"x")
+    assert keys(Store(spark, f"file://{tmp_path}/s", cfg)) == {"a"} and store.files.names(f"file://{tmp_path}/far") != [] and not store.files.exists(f"file://{tmp_path}/far/orphan/x.parquet")
