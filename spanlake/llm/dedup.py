@@ -45,6 +45,8 @@ from .components import connected
 from .words import WordHashes, hashed_words, mix64
 
 K, SIMILARITY, RECALL, SHORT = 3, 0.8, 0.99, 40
+#: A block of a bucket has so many words for each of its rows at most, on average: it is bounded in rows and bytes.
+WORDS_A_ROW = 8192.0
 #: Bins of the histograms of words and of word pairs.
 BINS, PAIR_BINS = 512, 2048
 
@@ -206,7 +208,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     labels = first.join(jump, "b", "left").select(F.col("a").alias("key"), F.coalesce("far", "b").alias("component"))
     labelled = meet.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     labelled = table(labelled.select("bucket", "key", "n", "component"), "omh-labelled")
-    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi")
+    split = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.greatest(F.count(F.lit(1)).cast("double"), F.sum("n") / WORDS_A_ROW)).alias("rows")).where("lo <> hi")
     rest = labelled.join(split.select("bucket", "rows"), "bucket").join(words, "key")
     links = first.unionByName(table(between(rest), "omh-more-links"))
     component = connected(links).withColumnRenamed("node", "key")

@@ -7,11 +7,12 @@ A shard file is a run of blocks and a footer::
 
 EF(v) keeps n ascending integers below u in about n * (2 + log2(u / n)) bits: the low bits of each packed,
 the high bits in unary, and a sample of every 64th one-bit for select(i). No 64-bit offset table exists; a
-document's place in the corpus is the shard's start + the block's start + select(i).
+document's place in the corpus is the shard's start + the block's start + select(i), where shards follow each other
+by number and their lengths stand in their footers: the files alone give all that is read.
 
 Edge cases: null and empty texts hold the end id alone; null ids come first and are kept as nulls; repeated
-rows are documents of their own, ordered by (id, text); an empty table gives no files and no rows. Other
-columns are never read.
+rows are documents of their own; documents of one id, or without, are ordered by a hash of their texts and may be
+dealt over many shards; an empty table gives no files and no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -183,11 +184,13 @@ class Encoder:
 
 
 def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str, pattern: str | None, end_id: int = 0) -> DataFrame:
-    """Write ``docs`` in ascending id order to shard files under ``folder``; returns the written manifest, a row per
-    block. A lost task writes its shard anew under another name and only committed names enter the manifest."""
+    """Write ``docs`` in ascending id order to shard files under ``folder``; returns the written list of them (shard, path).
+    A lost task writes its shard anew under another name and only committed names enter the manifest."""
     arrow_batches(docs.sparkSession, 500)
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
+    # The place of a row in its input breaks ties, so that a third of all rows with one id, even equal ones, can be split.
+    by = ("id", "h", "place")
+    ordered = ordered.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).select("id", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -240,20 +243,21 @@ def write_shards(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_c
             foot = json.dumps(blocks).encode()
             out.write(foot + struct.pack("<I", len(foot)) + MAGIC)
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(blocks), pa.int64()), "path": [path] * len(blocks), **{k: pa.array([x[k] for x in blocks], pa.int64()) for k in BLOCK_FIELDS}})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path]})
 
-    return table(ordered.mapInArrow(run, "shard long, path string, " + ", ".join(f"{k} long" for k in BLOCK_FIELDS)), "token-manifest")
+    return table(ordered.mapInArrow(run, "shard long, path string"), "token-shards")
 
 
 BLOCK_FIELDS = ("at", "size", "ids_bytes", "docs", "ids", "nulls", "base", "width", "before")
 
 
 def decode_block(data: bytes, ids_bytes: int, nulls: int, base: int, width: int):
-    """(document ids, ends, ids) of a block."""
+    """(document ids, ends, ids) of a block; an end is found by select, as for any single document."""
     ids = np.frombuffer(data, f"<u{width}", ids_bytes // width)
     bounds, at = EliasFano.from_bytes(data, ids_bytes)
     names, _ = EliasFano.from_bytes(data, at)
-    return [None] * nulls + (names.decode() + base).tolist(), bounds.decode(), ids
+    ends = np.fromiter(map(bounds.select, range(bounds.n)), np.int64, bounds.n)
+    return [None] * nulls + (names.decode() + base).tolist(), ends, ids
 
 
 def read_footer(path: str) -> list[dict]:
@@ -268,14 +272,25 @@ def read_footer(path: str) -> list[dict]:
         return json.loads(f.read_at(n, size - 12 - n))
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files of a manifest."""
-    spark = manifest.sparkSession
-    # A row per shard and one per block: both are far smaller than the corpus and no text or id is among them.
-    totals = manifest.groupBy("shard").agg(F.sum("ids").alias("n"))
-    starts = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    blocks = manifest.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
+def read_shards(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from shard files (shard, path)."""
+    spark = shards.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def footers(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for r in b.to_pylist():
+                found = read_footer(r["path"])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([r["shard"]] * len(found), pa.int64()), "path": [r["path"]] * len(found), **{k: pa.array([x[k] for x in found], pa.int64()) for k in BLOCK_FIELDS}})
+
+    # A row per block: far fewer than documents, and no text or id is among them.
+    listed = shards.repartition(n, "path").mapInArrow(footers, "shard long, path string, " + ", ".join(f"{k} long" for k in BLOCK_FIELDS))
+    listed = table(listed, "token-blocks")
+    totals = listed.groupBy("shard").agg(F.sum("ids").alias("n"))
+    starts = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
+    blocks = listed.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("before"))
     blocks = blocks.select("path", "at", "size", "ids_bytes", "nulls", "base", "width", "start").repartition(n, "path", "at")
 
     def run(batches):
@@ -299,8 +314,7 @@ def encode_documents(docs: DataFrame, folder: str | None = None) -> DataFrame:
     import public_tokenizers
 
     folder = folder or new_dir(docs.sparkSession, "token-files")
-    manifest = write_shards(docs, folder, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
-    return read_shards(manifest)
+    return read_shards(write_shards(docs, folder, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN))
 
 
 def op2_elias_fano_tokens(spark, sf_dir: str) -> DataFrame:

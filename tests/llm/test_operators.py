@@ -138,6 +138,27 @@ def test_tokens_round_trip(spark):
     assert got == want
 
 
+def test_shards_tell_all_by_themselves(spark):
+    from spanlake.llm.common import new_dir
+
+    # A third of the rows has one id, and equal rows are many.
+    rng = random.Random(12)
+    rows = [(5, "same again") for _ in range(600)] + [(None, None)] * 40 + [(k, prose(rng, 3)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    folder = new_dir(spark, "token-test")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        shards = tokenfile.write_shards(docs, folder, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [sum(b["docs"] for b in tokenfile.read_footer(r["path"])) for r in shards.collect()]
+    assert len(sizes) > 1 and max(sizes) < 0.6 * len(rows) and sum(sizes) == len(rows)
+    got = sorted((tuple(r) for r in tokenfile.read_shards(shards).collect()), key=lambda r: r[1])
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+    ids = [r[0] for r in got]
+    assert ids[:40] == [None] * 40 and ids[40:] == sorted(ids[40:]) and len(ids) == len(rows)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for n, top in ((0, 1), (1, 1), (5, 3), (1000, 10), (1000, 10**9), (70, 10**6)):
