@@ -23,9 +23,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this session has been given and that may still be there.
+_given: set[str] = set()
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path (not yet created) in the shared folder."""
-    return f"{shared_dir(spark)}/spanlake/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/spanlake/{name}-{uuid.uuid4().hex}"
+    _given.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all that operators wrote to the shared folder in this session, token files and bundles included; returns how
+    many folders. To be called when their results have been read or stored elsewhere: results read these tables."""
+    n = len(_given)
+    for path in sorted(_given):
+        drop_dir(spark, path)
+    return n
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -47,6 +62,7 @@ def drop_table(df: DataFrame) -> None:
 def drop_dir(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _given.discard(path)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

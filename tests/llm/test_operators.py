@@ -318,6 +318,57 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 == decontam.find_leaks(docs.limit(0), bench).count()
 
 
+def least_edits(item, text):
+    """The edit distance of ``item`` to the nearest part of ``text``, by the whole table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+def test_leaks_are_those_of_all_pairs():
+    rng = random.Random(31)
+    common = WORDS[:12]  # words that stand everywhere
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else rng.choice(WORDS)
+    items = [[word() for _ in range(n)] for n in (1, 2, 4, 5, 7, 9, 11, 14, 19, 20, 21, 24, 30, 33, 40, 59, 90)]
+    docs = []
+    for k in range(170):
+        w, item = [word() for _ in range(rng.randrange(150))], items[k % len(items)]
+        part = list(item)
+        for _ in range(rng.randrange(len(item) // 5 + 2)):
+            p, kind = rng.randrange(len(part) or 1), rng.randrange(3)
+            part[p : p + (kind != 1)] = [] if kind == 2 else [word()]
+        at = rng.choice([0, len(w), rng.randrange(len(w) + 1)])
+        docs.append(w[:at] + part + w[at:])
+    index = decontam.Items(list(range(len(items))), [" ".join(i) for i in items])
+    got = decontam.leaks([" ".join(d) for d in docs], index, decontam.WordHashes())
+    want = {(d, i): e for d, text in enumerate(docs) for i, item in enumerate(items) if (e := least_edits(item, text)) <= len(item) // 5 and len(text) >= len(item) - e}
+    assert set((d, i) for d, i, *_ in got) <= set(want) and all(e == want[d, i] for d, i, _, _, e in got)
+    short = {(d, i) for d, i in want if len(items[i]) < decontam.SHORT}
+    assert short <= {(d, i) for d, i, *_ in got}  # found by an exact way
+    assert len(got) >= 0.98 * len(want) and len(want) > 200
+    for d, i, start, size, e in got:
+        assert slow_distance(docs[d][start : start + size], items[i]) == e
+
+
+@pytest.mark.parametrize("n", [20, 26, 40, 80, 300])
+def test_recall_of_windows_at_the_edit_limit(n):
+    rng = np.random.default_rng(n)
+    word = lambda k: [f"v{x}" for x in rng.integers(1, 1 << 40, k)]
+    items = [word(n) for _ in range(150)]
+    index, docs = decontam.Items(list(range(150)), [" ".join(w) for w in items]), []
+    for w in items:
+        part = list(w)
+        for p in rng.choice(n, n // 5, replace=False).tolist():
+            part[p] = "zz"
+        docs.append(" ".join([*word(30), *part, *word(30)]))
+    found = {(d, i) for d, i, *_ in decontam.leaks(docs, index, decontam.WordHashes())}
+    assert sum((k, k) in found for k in range(150)) >= 0.98 * 150 and min(index.recall.values()) >= decontam.RECALL
+
+
 def test_short_first_items_do_not_set_the_search_for_long_ones():
     rng = np.random.default_rng(6)
     word = lambda n: [f"v{x}" for x in rng.integers(1, 1 << 40, n)]
@@ -333,6 +384,16 @@ def test_short_first_items_do_not_set_the_search_for_long_ones():
     assert found == {(k, 200 + k) for k in range(12)}
 
 
+def test_a_benchmark_beyond_one_part_takes_several_passes(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 25)) for k in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = odd_docs(spark, [(k, f"{prose(rng, 9)} {items[k][1]} {prose(rng, 9)}", "s") for k in range(0, 30, 2)] + [(99, prose(rng, 60), "s")])
+    monkeypatch.setattr(decontam, "PART_BYTES", 800)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()} == {(k, k) for k in range(0, 30, 2)}
+    assert [r["doc_id"] for r in decontam.without_leaks(docs, bench).collect()] == [99]
+
+
 # 5. Lines, 6. WARC, 9. Mixing: SQL.
 
 
@@ -525,14 +586,71 @@ def test_recall_at_the_threshold_with_many_hashes(spark):
 # The pipeline.
 
 
-def test_pipeline(spark, sf_dir):
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Planted junk, copies, near copies and leaks; what each stage should keep is worked out in plain Python or SQL."""
+    rng, rows, labels = random.Random(41), [], []
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(500)]
+    sentence = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    clean = lambda: " ".join(sentence(rng.randrange(6, 12)) for _ in range(rng.randrange(3, 9)))
+    junk = lambda: " ".join(rng.choice(["!!!!!", "$$$", "CLICK", "HERE", "0000", "xXx", ">>>", "WIN"]) for _ in range(rng.randrange(20, 60)))
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([9, 16, 24, 31])))) for k in range(8)]
+    for k in range(420):
+        bad = k % 3 == 0
+        text = junk() if bad else clean()
+        if not bad and k % 7 == 1:
+            text = rng.choice([t for _, t, _, b in rows if not b] or [text])
+            w = text.split()
+            for _ in range(rng.randrange(len(w) // 5)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            text = " ".join(w)
+        elif not bad and k % 11 == 4:
+            text = f"{text} {items[k % 8][1]} {sentence(5)}"
+        rows.append((k, text, rng.choice(["a", "b", None]), bad))
+        if k % 2:
+            labels.append((k, 1 - bad, 0))
+    one = lambda name, data, schema: spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    one("documents", [(k, t, "en", s, len(t)) for k, t, s, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one("labels", labels, "doc_id long, quality int, toxic int")
+    one("benchmark", items, "item_id long, text string")
+    # 1. No junk.
+    left = {k: (t, s) for k, t, s, bad in rows if not bad}
+    # 2. The least id of each component of texts within a fifth of edits.
+    word = {w: n for n, w in enumerate(sorted({x for t, _ in left.values() for x in re.findall(r"\w+", t.lower())} | {x for _, t in items for x in t.split()}))}
+    split = {k: [word[x] for x in re.findall(r"\w+", t.lower())] for k, (t, _) in left.items()}
+    close = lambda a, b: len(set(a) & set(b)) > 5 and abs(len(a) - len(b)) <= max(len(a), len(b)) // 5 and slow_distance(a, b) <= max(len(a), len(b)) // 5
+    ids = sorted(left)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if close(split[a], split[b])]
+    assert len(links) > 20
+    first = components(ids, links)
+    # 3. No text with a part within a fifth of edits of an item.
+    asked = [[word[x] for x in t.split()] for _, t in items]
+    kept = [k for k in ids if first[k] == k and all(least_edits(i, split[k]) > len(i) // 5 for i in asked)]
+    assert len(kept) < sum(first[k] == k for k in ids)
+    # 4. The mixture by SQL, 5. its ids by the library.
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, 'en', ?, ?)", [(k, left[k][0], left[k][1], len(left[k][0])) for k in kept])
+    cur = con.execute(mixing.SQL)
+    at = {d[0]: n for n, d in enumerate(cur.description)}
+    copies = {r[at["doc_id"]]: r[at["taken"]] // r[at["size"]] for r in cur.fetchall()}
+    tok, want, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), [], 0
+    for k in sorted(copies):
+        got = np.array([*tok.encode(left[k][0], add_special_tokens=False).ids, 0], "<u4")
+        for _ in range(int(copies[k])):
+            want.append((k, start, len(got), zlib.crc32(got.tobytes())))
+            start += len(got)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()) == sorted(want)
+
+
+def test_stages_give_the_columns_of_documents(spark, sf_dir):
+    from spanlake.llm.common import clear
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = corpus_pipeline.table(stage(spark, kept, sf_dir), "test")
         assert kept.columns == docs.columns
     assert 0 < kept.count()
-    want = {tuple(r) for r in tokenfile.encode_documents(kept).collect()}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()} == want
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+    assert clear(spark) > 0 and clear(spark) == 0
