@@ -65,6 +65,13 @@ def main() -> None:
         }
         out |= {n: timed(lambda s=s: store.scan(s).collect()) for n, s in reads.items()}
         out["store_get"] = timed(lambda: store.get("s/00000042"))
+        texts = Store(spark, f"file://{work}/texts", Config(promote_labels=("lang",), hot_ttl=None, index_rows=1))
+        texts.put_batch(adapters.docs(spark, SF_DIR), order=["seq"])
+        maintenance.compact_all(texts, 0)
+        asked = {"store_text_match": QuerySpec(text_match="though from", limit=50), "store_text_like": QuerySpec(text_like="The th%", limit=50)}
+        out |= {n: timed(lambda s=s: texts.scan(s).collect()) for n, s in asked.items()}
+        key = iter(range(1 << 30))
+        out["store_put"] = timed(lambda: store.put(f"new/{next(key)}", 1, {"event_type": "click"}, {"value": 1.0}))
         print(json.dumps({"metric": "total_query_time", "value": round(sum(out.values()), 3), "unit": "sec", "queries": out, "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")}))
     finally:
         spark.stop()
