@@ -43,9 +43,11 @@ class Config:
     """``fsync``: "always" commits every write before it returns, a number n every n-th one, "os" when
     ``memtable_max_records`` rows are buffered in the driver; a crash loses what is buffered. TTLs are in nanoseconds, None
     for never. ``promote_*`` names get columns of their own. ``cold_root``: where cold files go; None leaves them in place.
-    ``index_text`` writes postings beside texts; reads go by them where ``index_rows`` rows with text or more could be asked
-    and ``index_keys`` keys or fewer match. A file holds ``max_segment_records`` rows and, at its batch's mean size of a
-    record, ``max_segment_bytes`` at most. Files that a commit dropped stay for ``vacuum_grace``."""
+    ``cold_root`` and ``remote_root`` belong to one store each: what it does not list there is vacuumed. ``index_text``
+    writes postings beside texts; reads go by them where ``index_rows`` rows with text or more could be asked and
+    ``index_keys`` keys or fewer match. ``early_files``: files with which a newest-first page is tried first. A file holds
+    ``max_segment_records`` rows and, at its batch's mean size of a record, ``max_segment_bytes`` at most. Files that a
+    commit dropped stay for ``vacuum_grace``."""
 
     fsync: str | int = "always"
     memtable_max_records: int = 10_000

@@ -397,3 +397,24 @@ def test_orphans_of_the_remote_tier_go_when_a_store_opens(spark, tmp_path):
     assert m.tier(store, later) == m.tier(store, later) == 1
     store.files.create(f"file://{tmp_path}/far/orphan/x.parquet", b"x")
     assert keys(Store(spark, f"file://{tmp_path}/s", cfg)) == {"a"} and store.files.names(f"file://{tmp_path}/far") != [] and not store.files.exists(f"file://{tmp_path}/far/orphan/x.parquet")
+
+
+def test_running_state_is_the_fold(spark, tmp_path):
+    from spanlake.streaming.state import move_on, running_state
+
+    writes = [w for w in history(160, 8, machines=12)]
+    schema = f"{RECORD}, op string, seq long"
+    rows = [(k, t, a, {n: v for n, v in x.items() if v == v}, b"", text, op, i) for i, (op, k, t, a, x, text) in enumerate(writes)]
+    for part in range(2):
+        spark.createDataFrame(rows[80 * part : 80 * part + 90], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")  # ten rows come twice
+        stream = running_state(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        # Every change goes to a file; the newest row of a key is its state.
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        assert q.awaitTermination(240)
+    last = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").collect():
+        if r["key"] not in last or last[r["key"]]["seq"] < r["seq"]:
+            last[r["key"]] = r
+    want = oracle.resolve([(op, k, t, a, {n: v for n, v in x.items() if v == v}, text) for op, k, t, a, x, text in writes])
+    assert sorted(view(r for r in last.values() if r["live"]), key=str) == sorted(view(want.values()), key=str)
+    assert move_on((5, True, 1, "{}", '{"n": 1.0}', b"", None), [(4, "put", 9, "{}", "{}", b"", None)])[0] == 5
