@@ -21,9 +21,10 @@ def write_postings(log: DataFrame, folder: str) -> None:
 
 def dictionary(state: DataFrame) -> DataFrame:
     """token, n (occurrences), docs (records), in one aggregation: a record gives each token, and each different one."""
-    tokens = fts_tokens(F.col("text"))
     row = lambda n, docs: lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    each = state.where("text is not null").select(F.explode(F.concat(F.transform(tokens, row(1, 0)), F.transform(F.array_distinct(tokens), row(0, 1)))).alias("e"))
+    both = lambda ts: F.concat(F.transform(ts, row(1, 0)), F.transform(F.array_distinct(ts), row(0, 1)))
+    # A lambda's variable, so that a text is split once.
+    each = state.where("text is not null").select(F.explode(F.transform(F.array(fts_tokens(F.col("text"))), both)[0]).alias("e"))
     return each.select("e.*").groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

@@ -62,14 +62,12 @@ def zone_rows(log: DataFrame, file: str) -> DataFrame:
 def zone_entries(log: DataFrame, file: str) -> DataFrame:
     """A row per file and label or metric (``is_label``): sorted label values, null beyond LABEL_VALUES, or min and max.
 
-    One pass; values are counted before any list is made, and a rank limit keeps lists from being longer.
+    Values are counted before any list is made, and a rank limit keeps lists from being longer.
     """
-    kind = "array<struct<is_label:boolean,name:string,value:string,v:double>>"
-    entry = lambda yes, value, v: lambda e: F.struct(F.lit(yes).alias("is_label"), e["key"].alias("name"), value(e).alias("value"), v(e).alias("v"))
-    none = lambda t: lambda e: F.lit(None).cast(t)
-    labels = F.transform(F.map_entries("labels"), entry(True, lambda e: e["value"], none("double")))
-    metrics = F.transform(F.map_entries("numerics"), entry(False, none("string"), lambda e: F.when(~F.isnan(e["value"]), e["value"])))
-    each = log.select(file, F.explode(F.concat(*[F.coalesce(x.cast(kind), F.array().cast(kind)) for x in (labels, metrics)])).alias("e")).select(file, "e.*")
+    none = lambda t: F.lit(None).cast(t)
+    labels = log.select(file, F.explode("labels").alias("name", "value")).select(file, F.lit(True).alias("is_label"), "name", "value", none("double").alias("v"))
+    metrics = log.select(file, F.explode("numerics").alias("name", "v")).select(file, F.lit(False).alias("is_label"), "name", none("string").alias("value"), F.when(~F.isnan("v"), F.col("v")).alias("v"))
+    each = labels.unionByName(metrics)
     per = each.groupBy(file, "is_label", "name", "value").agg(F.min("v").alias("low"), F.max("v").alias("high"))
     rank = F.row_number().over(Window.partitionBy(file, "is_label", "name").orderBy("value"))
     per = per.withColumn("_rank", rank).where(F.col("_rank") <= LABEL_VALUES + 1)
