@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import contains_all, fts_tokens, like, like_constraints, tokens_of
@@ -19,13 +19,19 @@ def write_postings(log: DataFrame, folder: str) -> None:
     sorted_.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(folder)
 
 
+def _counted(ts: Column) -> Column:
+    """(token, n) of each different token of a sorted array: the lengths of its runs."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (ts[i - 1] != ts[i]))
+    run = lambda of: lambda at, k: F.struct(ts[at].alias("token"), (F.coalesce(F.get(of, k + 1), F.size(ts)) - at).cast("long").alias("n"))
+    # Lambdas' variables, so that a text is split and its runs are found once.
+    return F.transform(F.array(starts), lambda of: F.transform(of, run(of)))[0]
+
+
 def dictionary(state: DataFrame) -> DataFrame:
-    """token, n (occurrences), docs (records), in one aggregation: a record gives each token, and each different one."""
-    row = lambda n, docs: lambda t: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), F.lit(docs).cast("long").alias("docs"))
-    both = lambda ts: F.concat(F.transform(ts, row(1, 0)), F.transform(F.array_distinct(ts), row(0, 1)))
-    # A lambda's variable, so that a text is split once.
-    each = state.where("text is not null").select(F.explode(F.transform(F.array(fts_tokens(F.col("text"))), both)[0]).alias("e"))
-    return each.select("e.*").groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """token, n (occurrences), docs (records), in one aggregation: a record counts its tokens before they leave it."""
+    counts = F.transform(F.array(F.sort_array(fts_tokens(F.col("text")))), lambda ts: F.when(F.size(ts) > 0, _counted(ts)))[0]
+    each = state.where("text is not null").select(F.explode(counts).alias("e"))
+    return each.select("e.*").groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
 def keys_with(index: DataFrame, tokens: list[str], prefixes: list[str] = ()) -> DataFrame:
