@@ -358,7 +358,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", sample: int = TRAIN_DOCS):
 
 
 def find_private(docs: DataFrame, model=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans, and n_added; no shuffle."""
+    """doc_id, counts and digest of the base spans, all spans, n_added, and has_pii (there is any span); no shuffle."""
     arrow_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model if model is not None else learn(docs, text_col=text_col))
 
@@ -373,9 +373,10 @@ def find_private(docs: DataFrame, model=None, *, id_col: str = "doc_id", text_co
             columns["base_sha256"] = pa.array([hashlib.sha256(show(base).encode()).hexdigest() for base, _ in found], pa.string())
             columns["spans"] = pa.array([show(base + more) for base, more in found], pa.string())
             columns["n_added"] = pa.array([len(more) for _, more in found], pa.int64())
+            columns["has_pii"] = pa.array([bool(base or more) for base, more in found], pa.bool_())
             yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, has_pii boolean"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
