@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from spanlake.functions.metrics import present
 from spanlake.schema import DEL, INCR, PUT, RECORD_COLUMNS, TOMBSTONE_LABEL
 
+#: Writes from which on a key is hot, and the most keys that are treated so.
+HOT_ROWS, HOT_KEYS = 1_000_000, 1000
+
 
 def normalised(log: DataFrame) -> DataFrame:
     """``log`` with tombstone-labelled puts as deletes."""
@@ -32,13 +35,24 @@ def fold(log: DataFrame, metrics: list[str] | None = None, *, increments: bool =
     """One log row per key that stands for all its writes in ``log``; folding again changes nothing.
 
     The result's op is ``put``, ``del``, or ``incr`` where no base is in the log. ``metrics``: all metric names, if known;
-    sums are then plain columns of one hash aggregation. Every step aggregates before it shuffles, so a hot counter costs
-    one row per task; only the join with bases meets its rows, and that one adaptive execution splits.
+    sums are then plain columns of one aggregation. Writes meet their key's base in a join by key. Of keys with ``HOT_ROWS``
+    writes or more, the ``HOT_KEYS`` largest meet it by a broadcast of so many narrow rows instead, and aggregate before
+    they shuffle; any other key has less than one in ``HOT_KEYS`` of all writes, or few. Without hot keys adaptive
+    execution drops that branch.
     """
     if not increments:
         return last_writes(log)
-    base = log.groupBy("key").agg(F.max(F.when(F.col("op") != INCR, F.col("seq"))).alias("_base"))
-    live = log.join(base, "key").where("_base is null or seq >= _base")
+    log = log.where(F.col("key").isNotNull())
+    base = log.groupBy("key").agg(F.max(F.when(F.col("op") != INCR, F.col("seq"))).alias("_base"), F.count(F.lit(1)).alias("_n"))
+    hot = base.where(F.col("_n") >= HOT_ROWS).orderBy(F.col("_n").desc(), "key").limit(HOT_KEYS)
+    few = log.join(F.broadcast(hot.select("key")), "key", "left_anti")
+    # The condition on _n keeps this aggregation the same as that of the hot keys, so that its exchange is used again.
+    return _folded(log.join(F.broadcast(hot), "key"), metrics).unionByName(_folded(few.join(base.where("_n > 0"), "key"), metrics))
+
+
+def _folded(based: DataFrame, metrics: list[str] | None) -> DataFrame:
+    """:func:`fold` of writes that carry their key's newest base in ``_base``."""
+    live = based.where("_base is null or seq >= _base")
     # Ordering values that are null are passed over: a delete never lends its identity.
     own = F.when(F.col("op") != DEL, F.col("seq"))
     counted = F.col("op") != DEL

@@ -35,7 +35,8 @@ def count(state: DataFrame, spec: QuerySpec) -> DataFrame:
 
 
 def get(state: DataFrame, key: str) -> DataFrame:
-    """The record of a key, or no row. The condition is on the key alone, so it passes below the fold."""
+    """The record of a key, or no row. The condition is on the key alone, so it passes below the fold; only the search for
+    hot keys does not take it, so a log with increments is better cut to the key before it is resolved, as a store does."""
     return state.where(F.col("key") == key)
 
 

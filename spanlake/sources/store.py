@@ -354,8 +354,10 @@ class Store:
             return k < len(raw) and raw[k] <= z.max_key.encode()
 
         zones = [z for z in now.zones if holds(z)]
-        log = self.log(zones).where(F.col("key").isin(keys)) if keys else self.log([])
-        return self._resolved(log, list(now.metrics), any(z.has_incr for z in zones))
+        if not any(z.has_incr for z in zones):
+            # The condition passes below the resolution, if there is one.
+            return self._plain(zones, [], QuerySpec()).where(F.col("key").isin(keys)) if zones else self._plain([], [], QuerySpec())
+        return self._resolved(self.log(zones).where(F.col("key").isin(keys)), list(now.metrics), True)
 
     def scan(self, spec: QuerySpec) -> DataFrame:
         return read.scan(self.state(spec), spec).select(*RECORD_COLUMNS)
@@ -370,7 +372,7 @@ class Store:
 
         def found() -> Row | None:
             if self.buffer:
-                return read.get(self.state(), key).select(*RECORD_COLUMNS).first()
+                return read.get(self.state(QuerySpec(key_prefix=key)), key).select(*RECORD_COLUMNS).first()
             return self._of_keys(self.snapshot(), [key]).select(*RECORD_COLUMNS).first()
 
         return self._retrying(found)
