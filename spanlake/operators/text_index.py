@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import contains_all, fts_tokens, like, like_constraints, tokens_of
+from spanlake.functions.text import SEPARATORS, contains_all, fts_tokens, like, like_constraints, tokens_of
 
 
 def postings(state: DataFrame) -> DataFrame:
     """token, key: a row for each distinct token of each record."""
-    return state.where("text is not null").select("key", F.explode(F.array_distinct(fts_tokens(F.col("text")))).alias("token")).select("token", "key")
+    # Words are made distinct before they are lower-cased too, as most of a text's words repeat.
+    words = F.array_distinct(F.array_remove(F.split(F.col("text"), SEPARATORS), ""))
+    return state.where("text is not null").select("key", F.explode(F.array_distinct(F.transform(words, F.lower))).alias("token")).select("token", "key")
+
+
+def arranged(log: DataFrame) -> DataFrame:
+    """The postings of a log as they are written: each task sorts those of the texts it reads by token, so that a read of one
+    token touches few row groups of each file. Texts are split once, and nothing is shuffled."""
+    return postings(log).sortWithinPartitions("token", "key")
 
 
 def write_postings(log: DataFrame, folder: str) -> None:
-    """Write the postings of a log sorted by token, so that a read of one token touches few row groups."""
-    sorted_ = postings(log).repartitionByRange("token", "key").sortWithinPartitions("token", "key")
-    sorted_.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").parquet(folder)
+    to = arranged(log).write.option("compression", "zstd").option("parquet.bloom.filter.enabled#token", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+    to.parquet(folder)
 
 
 def _counted(ts: Column) -> Column:

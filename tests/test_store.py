@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 
 from spanlake.operators import maintenance as m
+from spanlake.operators import text_index
 from spanlake.operators.retention import Policy
 from spanlake.plans.spec import TS_DESC, OrderBy, QuerySpec
 from spanlake.sources import commits
@@ -418,3 +419,16 @@ def test_running_state_is_the_fold(spark, tmp_path):
     want = oracle.resolve([(op, k, t, a, {n: v for n, v in x.items() if v == v}, text) for op, k, t, a, x, text in writes])
     assert sorted(view(r for r in last.values() if r["live"]), key=str) == sorted(view(want.values()), key=str)
     assert move_on((5, True, 1, "{}", '{"n": 1.0}', b"", None), [(4, "put", 9, "{}", "{}", b"", None)])[0] == 5
+
+
+def test_postings_are_written_without_a_shuffle(spark, tmp_path):
+    texts = spark.range(300).selectExpr("format_string('k%05d', id) key", "concat('The the ', id % 7, ' Word', id) text").repartition(3)
+    at = f"file://{tmp_path}/p"
+    texts.write.parquet(f"file://{tmp_path}/t")
+    text_index.write_postings(spark.read.parquet(f"file://{tmp_path}/t"), at)
+    got = spark.read.parquet(at)
+    assert sorted(map(tuple, got.collect())) == sorted({(w.lower(), r["key"]) for r in texts.collect() for w in r["text"].split()})
+    assert "Exchange" not in text_index.arranged(spark.read.parquet(f"file://{tmp_path}/t"))._jdf.queryExecution().executedPlan().toString()
+    for file in got.select("_metadata.file_path").distinct().collect():
+        own = [tuple(r) for r in spark.read.parquet(file[0]).collect()]
+        assert own == sorted(own)
