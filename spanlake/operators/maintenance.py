@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanlake.plans.zones import Overlap, Zone, alone
 from spanlake.schema import LOG_COLUMNS
-from spanlake.sources.files import copy_on_executors
+from spanlake.sources.files import copy_on_executors, short
 
 from .fold import fold
 from .reclaim import dead_rows
@@ -93,13 +93,13 @@ def choose_run(zones: list[Zone], config: Config) -> list[Zone]:
     return longest if sum(map(len, stretches)) > TIER_FACTOR * least else []
 
 
-def swap(store: Store, old: list[Zone], rows: DataFrame | None, *, unique: bool = False, fewer: str | None = None, **counted: int) -> list[Zone]:
+def swap(store: Store, old: list[Zone], rows: DataFrame | None, *, fewer: str | None = None, **counted: int) -> list[Zone]:
     """Replace files by what ``rows`` holds, in one commit. ``fewer``: the counter of the rows that are gone."""
     now = store.snapshot()
     new: list[Zone] = []
     if rows is not None:
         mean = sum(z.bytes for z in old) / max(1, sum(z.count for z in old))
-        new = store.write_files(rows, now, mean=mean, created=max(z.created for z in old), unique=unique)
+        new = store.write_files(rows, now, mean=mean, most=sum(z.count for z in old), created=max(z.created for z in old))
     gone = {z.id for z in old}
     kept = tuple(z for z in now.zones if z.id not in gone)
     made = replace(now, zones=(*kept, *new), next_file=now.next_file + len(new))
@@ -127,7 +127,7 @@ def compact(store: Store, now: int, run: list[Zone] | None = None) -> list[Zone]
         old = ttl.isNotNull() & (F.col("ts") < F.lit(now) - ttl)
         # With other files about, an expired winner becomes a delete: it must go on hiding what they hold.
         rows = _as_deletes(rows, old & (F.col("op") == "put")) if others else rows.where(~old)
-    return swap(store, run, rows, unique=True, compactions=1)
+    return swap(store, run, rows, compactions=1)
 
 
 def _as_deletes(rows: DataFrame, where) -> DataFrame:
@@ -238,7 +238,7 @@ def migrate(store: Store) -> int:
     """Rewrite one hot file that lacks a promoted column or postings that the store has by now; returns how many."""
     old = [z for z in store.snapshot().zones if z.tier == "hot" and (not set(store.config.promoted) <= set(z.promoted) or (store.config.index_text and z.texts and z.index is None))]
     for z in old[:1]:
-        swap(store, [z], store.log([z]), unique=z.unique, files_migrated=1)
+        swap(store, [z], store.log([z]), files_migrated=1)
     return len(old[:1])
 
 
@@ -250,8 +250,8 @@ def purge_key(store: Store, key: str) -> None:
     found = store.log(zones, file=True).where(F.col("key") == key).groupBy("_file").agg(F.max(F.col("op") == "incr").alias("incr")).collect() if zones else []
     if any(r["incr"] for r in found):
         raise ValueError(f"{key} holds increments and can't be purged")
-    holds = {store.files.full(r["_file"]) for r in found}
-    if chosen := [z for z in zones if store.files.full(z.file) in holds]:
+    holds = {short(r["_file"]) for r in found}
+    if chosen := [z for z in zones if short(z.file) in holds]:
         swap(store, chosen, store.log(chosen).where(F.col("key") != key), purges=1)
 
 

@@ -7,9 +7,11 @@ read with slim columns (key, seq, op). Choices run in n log n steps over the zon
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ LABEL_VALUES = 64
 class Zone:
     """What a file holds. ``labels``: values by name, None if over LABEL_VALUES. ``numerics``: (min, max) by name, None if
     all are NaN. ``promoted``: promoted columns that the file has; ``texts``: rows with text; ``index``: the folder of its
-    postings, if it has some; ``unique``: no key occurs twice."""
+    postings, if it has some; ``unique``: no key occurs twice; ``folder_files``: how many files its folder was written with,
+    0 if not known."""
 
     file: str
     id: int
@@ -46,6 +49,7 @@ class Zone:
     texts: int = 0
     index: str | None = None
     unique: bool = False
+    folder_files: int = 0
 
 
 def zone_rows(log: DataFrame, file: str) -> DataFrame:
@@ -97,6 +101,119 @@ def zones_of(log: DataFrame, file: str, make: Callable[[str], dict]) -> list[Zon
     return [Zone(file=(f := r.pop(file)), **r, **names.get(f, {}), **make(f)) for r in rows]
 
 
+#: What :func:`file_zones` reads of each row; ``_name`` and ``_block`` tell the stretch of a file that a task reads.
+FILE_COLUMNS = ("_name", "_block", "_size", "key", "ts", "seq", "op", "_text", "labels", "numerics")
+
+
+def _pairs(maps: Any) -> tuple[Any, Any]:
+    """Names and values of an Arrow array of maps, which may be a slice."""
+    at, n = maps.offsets[0].as_py(), maps.offsets[-1].as_py()
+    return maps.keys.slice(at, n - at), maps.items.slice(at, n - at)
+
+
+def _stretch(out: dict | None, b: Any) -> dict:
+    """Takes rows of one stretch of a file into what is known of it."""
+    import pyarrow.compute as pc
+
+    key, op = b["key"], b["op"]
+    ends = {n: pc.min_max(b[n]).as_py() for n in ("key", "ts", "seq")}
+    rises = pc.all(pc.less(key.slice(0, len(key) - 1), key.slice(1))).as_py() is not False
+    if out is None:
+        out = {"name": b["_name"][0].as_py(), "bytes": b["_size"][0].as_py(), "count": 0, "has_incr": False, "has_del": False, "texts": 0, "rises": True, "labels": {}, "numerics": {}}
+        out |= {f"{m}_{n}": v[m] for n, v in ends.items() for m in ("min", "max")}
+    else:
+        # Rows come in the file's order, so keys rise all through it if they do in each batch and from one to the next.
+        rises = rises and out["max_key"].encode() < ends["key"]["min"].encode()
+        _join(out, {f"{m}_{n}": v[m] for n, v in ends.items() for m in ("min", "max")})
+    out["rises"] = out["rises"] and rises
+    out["count"] += len(key)
+    out["texts"] += pc.sum(b["_text"]).as_py() or 0
+    out["has_incr"] = out["has_incr"] or pc.any(pc.equal(op, "incr")).as_py() is True
+    out["has_del"] = out["has_del"] or pc.any(pc.equal(op, "del")).as_py() is True
+    names, values = _pairs(b["labels"])
+    for name in pc.unique(names).to_pylist():
+        if (known := out["labels"].setdefault(name, [])) is not None:
+            found = pc.unique(values.filter(pc.equal(names, name)))
+            _add_values(out["labels"], name, known, found.to_pylist() if len(found) <= LABEL_VALUES else None)
+    names, values = _pairs(b["numerics"])
+    for name in pc.unique(names).to_pylist():
+        v = values.filter(pc.equal(names, name)).drop_null()
+        span = pc.min_max(v.filter(pc.invert(pc.is_nan(v)))).as_py()
+        _add_span(out["numerics"], name, None if span["min"] is None else [span["min"], span["max"]])
+    return out
+
+
+def _add_values(labels: dict, name: str, known: list | None, found: list | None) -> None:
+    both = None if known is None or found is None else list({*known, *found})
+    labels[name] = both if both is not None and len(both) <= LABEL_VALUES else None
+
+
+def _add_span(numerics: dict, name: str, span: list | None) -> None:
+    had = numerics.get(name)
+    numerics[name] = [min(had[0], span[0]), max(had[1], span[1])] if had and span else had or span
+
+
+def _join(out: dict, more: dict) -> None:
+    """Widens the ranges of ``out`` by those of ``more``."""
+    raw = lambda v: v.encode() if isinstance(v, str) else v
+    for n in ("key", "ts", "seq"):
+        out[f"min_{n}"] = min(out[f"min_{n}"], more[f"min_{n}"], key=raw)
+        out[f"max_{n}"] = max(out[f"max_{n}"], more[f"max_{n}"], key=raw)
+
+
+def _stretches(batches: Iterable[Any]) -> Iterator[Any]:
+    """A JSON text for each stretch of a file among a task's rows."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    which, out = None, None
+    said = lambda: pa.RecordBatch.from_pydict({"zone": pa.array([json.dumps(out)], pa.string())})
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b["_block"].to_numpy(zero_copy_only=False)
+        ends = {*pc.run_end_encode(b["_name"]).run_ends.to_pylist(), *(np.flatnonzero(np.diff(block)) + 1).tolist()}
+        start = 0
+        for end in sorted(ends):
+            part = b.slice(start, end - start)
+            here = (part["_name"][0].as_py(), part["_block"][0].as_py())
+            if which is not None and which != here:
+                yield said()
+                out = None
+            which, out, start = here, _stretch(out, part), end
+    if which is not None:
+        yield said()
+
+
+def file_zones(log: DataFrame, make: Callable[[str], dict]) -> list[Zone]:
+    """The zones of files by first key, in one pass without a shuffle: a task sums up each stretch of a file that it reads,
+    and the driver gets a row per stretch. ``log`` has ``FILE_COLUMNS``; ``make`` gives the other fields from a file's name.
+    A file is ``unique`` if its keys rise."""
+    parts: dict[str, list[dict]] = {}
+    for r in log.select(*FILE_COLUMNS).mapInArrow(_stretches, "zone string").collect():
+        z = json.loads(r["zone"])
+        parts.setdefault(z["name"], []).append(z)
+    zones = []
+    for of in parts.values():
+        out, *rest = sorted(of, key=lambda z: (z["min_key"].encode(), z["max_key"].encode()))
+        for z in rest:
+            out["rises"] = out["rises"] and z["rises"] and out["max_key"].encode() < z["min_key"].encode()
+            _join(out, z)
+            for n in ("count", "texts"):
+                out[n] += z[n]
+            for n in ("has_incr", "has_del"):
+                out[n] = out[n] or z[n]
+            for name, values in z["labels"].items():
+                _add_values(out["labels"], name, out["labels"].get(name, []), values)
+            for name, span in z["numerics"].items():
+                _add_span(out["numerics"], name, span)
+        out["labels"] = {n: None if v is None else sorted(x for x in v if x is not None) for n, v in out["labels"].items()}
+        zones.append(out)
+    zones.sort(key=lambda z: z["min_key"].encode())
+    return [Zone(unique=z.pop("rises"), **{n: v for n, v in z.items() if n != "name"}, **make(z["name"])) for z in zones]
+
+
 def may_match(zone: Zone, spec: QuerySpec) -> bool:
     """Whether a row of the file can meet the conditions on time, labels, metrics and key."""
     if not may_overlap_prefix(zone, spec.key_prefix):

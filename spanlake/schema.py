@@ -28,4 +28,4 @@ TOMBSTONE_LABEL = "del"
 #: Label names that start so belong to the engine and are refused in writes.
 RESERVED_PREFIX = "__sl_"
 #: Version of commits and data that this code writes; greater ones are refused.
-FORMAT_VERSION = 2
+FORMAT_VERSION = 3

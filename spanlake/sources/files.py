@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,6 +84,16 @@ class Files:
         return fs.delete(p, True)
 
 
+def short(path: str) -> str:
+    """Folder and name of a file that the store wrote, which no other one has, however its path is spelled."""
+    return "/".join(path.rsplit("/", 2)[1:])
+
+
+def spelled(path: str) -> str:
+    """A full path with one slash after its scheme: equal for the same file, whoever reports it."""
+    return re.sub("^([a-z0-9]+:)/+", r"\1/", path)
+
+
 def _open(uri: str):
     from pyarrow import fs
 

@@ -27,7 +27,7 @@ from spanlake.operators import read, text_index
 from spanlake.operators.fold import normalised, promote, resolve
 from spanlake.operators.retention import Policy
 from spanlake.plans.spec import TS_DESC, QuerySpec
-from spanlake.plans.zones import LABEL_VALUES, Zone, disjoint, hiders, may_overlap_prefix, newest_until, plan_files, zones_of
+from spanlake.plans.zones import LABEL_VALUES, Zone, disjoint, file_zones, hiders, may_overlap_prefix, newest_until, plan_files
 from spanlake.schema import DEL, INCR, LOG_COLUMNS, LOG_SCHEMA, PUT, RECORD_COLUMNS, RECORD_SCHEMA, RESERVED_PREFIX, TOMBSTONE_LABEL
 
 from . import small
@@ -138,7 +138,7 @@ class Store:
             # A row for each partition.
             offsets = self.spark.createDataFrame(starts, "_part int, _start long")
             logged = x.join(F.broadcast(offsets), "_part").withColumn("seq", F.col("_start") + F.col("_at"))
-            zones = self.write_files(logged, now, arranged=True, mean=sum(r["bytes"] for r in parts) / max(1, seq - now.next_seq))
+            zones = self.write_files(logged, now, arranged=True, mean=sum(r["bytes"] for r in parts) / max(1, seq - now.next_seq), most=max(r["n"] for r in parts))
         finally:
             x.unpersist()
         self._publish(now, zones, seq, [batch] if batch else [])
@@ -230,19 +230,30 @@ class Store:
     def _records_a_file(self, mean: float) -> int:
         return max(1, min(self.config.max_segment_records, int(self.config.max_segment_bytes / max(1.0, mean))))
 
-    def write_files(self, rows: DataFrame, now: Snapshot, *, arranged: bool = False, mean: float = 0.0, created: int | None = None, tier: str = "hot", unique: bool = False) -> list[Zone]:
+    def write_files(self, rows: DataFrame, now: Snapshot, *, arranged: bool = False, mean: float = 0.0, most: int | None = None, created: int | None = None, tier: str = "hot") -> list[Zone]:
         """Write log rows as key-sorted files and return their zones; nothing is committed. ``arranged``: the rows are in
-        range partitions and sorted; ``mean``: bytes of a record."""
+        range partitions and sorted; ``mean``: bytes of a record; ``most``: rows that a file can hold at most, if known."""
         folder = self.new_folder(tier, now)
-        x = promote(rows.select(*LOG_COLUMNS), self.config.promote_labels, self.config.promote_metrics)
-        if not arranged:
-            x = x.repartitionByRange("key").sortWithinPartitions("key", "seq")
-        x.write.option("maxRecordsPerFile", self._records_a_file(mean)).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").parquet(folder)
-        sizes = {e.path: e.size for e in self.files.entries(folder)}
-        log = self.spark.read.schema(self._schema(self.config.promoted)).parquet(folder).select("*", F.col("_metadata.file_path").alias("_file"))
+        x, width = rows.select(*LOG_COLUMNS), self._records_a_file(mean)
+        # The choice of ranges reads all rows once before they are written, so what makes them runs once, onto disk.
+        held = None if arranged else x.persist(StorageLevel.DISK_ONLY)
+        try:
+            if held is not None:
+                x = held.repartitionByRange("key").sortWithinPartitions("key", "seq")
+            x = promote(x, self.config.promote_labels, self.config.promote_metrics)
+            # A filter on keys is as large as a file's keys need; without their number it takes a megabyte in each file.
+            keys = max(1, min(width, width if most is None else most))
+            x.write.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys).parquet(folder)
+        finally:
+            if held is not None:
+                held.unpersist()
+        log = self.spark.read.schema(self._schema([])).parquet(folder)
+        meta = {"_name": "file_name", "_block": "file_block_start", "_size": "file_size"}
+        read = log.select(*LOG_COLUMNS, F.col("text").isNotNull().alias("_text"), *[F.col(f"_metadata.{v}").alias(n) for n, v in meta.items()])
         number = iter(range(now.next_file, 1 << 62))
         made = created or time.time_ns()
-        zones = zones_of(log, "_file", lambda f: {"id": next(number), "bytes": sizes[self.files.full(f)], "created": made, "tier": tier, "promoted": self.config.promoted, "unique": unique})
+        zones = file_zones(read, lambda name: {"file": f"{folder}/{name}", "id": next(number), "created": made, "tier": tier, "promoted": self.config.promoted})
+        zones = [replace(z, folder_files=len(zones)) for z in zones]
         if self.config.index_text and any(z.texts for z in zones):
             index = self.new_folder("index", now)
             text_index.write_postings(log, index)
@@ -276,9 +287,20 @@ class Store:
         if not zones:
             out = promote(self.spark.createDataFrame([], LOG_SCHEMA), [n[2:] for n in promoted if n[0] == "l"], [n[2:] for n in promoted if n[0] == "n"])
             return out.withColumn("_file", F.lit("")) if file else out
-        out = self.spark.read.schema(self._schema(promoted)).parquet(*[z.file for z in zones])
+        out = self.spark.read.schema(self._schema(promoted)).parquet(*self._paths(zones))
         return out.select("*", F.col("_metadata.file_path").alias("_file")) if file else out
 
+    def _paths(self, zones: list[Zone]) -> list[str]:
+        """Paths that hold these files and no others: a folder where all of its files are read, as Spark looks at each path
+        that it is given by itself."""
+        inside: dict[str, list[Zone]] = {}
+        for z in zones:
+            inside.setdefault(z.file.rpartition("/")[0], []).append(z)
+        out = []
+        for folder, of in inside.items():
+            out += [folder] if len(of) == of[0].folder_files else [z.file for z in of]
+        return out
+
     def _schema(self, promoted: list[str]) -> str:
         fields = "".join(f", `{n}` {'string' if n.startswith('l_') else 'double'}" for n in promoted)
         return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LOG_SCHEMA.fields) + fields

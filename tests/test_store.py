@@ -10,6 +10,7 @@ from spanlake.operators import maintenance as m
 from spanlake.operators import text_index
 from spanlake.operators.retention import Policy
 from spanlake.plans.spec import TS_DESC, OrderBy, QuerySpec
+from spanlake.plans.zones import zones_of
 from spanlake.sources import commits
 from spanlake.sources.commits import ConflictError, CorruptError
 from spanlake.sources.store import Config, Store
@@ -421,6 +422,42 @@ def test_running_state_is_the_fold(spark, tmp_path):
     assert move_on((5, True, 1, "{}", '{"n": 1.0}', b"", None), [(4, "put", 9, "{}", "{}", b"", None)])[0] == 5
 
 
+def test_zones_of_files_in_one_pass(spark, tmp_path):
+    """They are those that the grouping finds, whatever the labels and metrics; files whose keys rise are unique."""
+    store = Store(spark, f"file://{tmp_path}/s", Config(max_segment_records=70, promote_labels=("a",)))
+    rows = [(f"k{k % 150:03d}", k, {"a": str(k % 3), "many": str(k)} | ({"b": "é"} if k > 150 else {}), {"m": float("nan") if k % 2 else -float(k), "nan": float("nan")}, b"", "t" if k < 9 else None, k, "del" if k == 7 else "incr" if k == 8 else "put") for k in range(200)]
+    log = spark.createDataFrame(rows, "key string, ts long, labels map<string,string>, numerics map<string,double>, payload binary, text string, k long, op string")
+    store.put_batch(log, order=["k"])
+    zones = store.snapshot().zones
+    want = zones_of(store.log(zones, file=True), "_file", lambda f: {"id": 0, "bytes": 0, "created": 0})
+    kinds = ("count", "min_ts", "max_ts", "min_key", "max_key", "min_seq", "max_seq", "has_incr", "has_del", "labels", "numerics", "texts")
+    assert [[getattr(z, n) for n in kinds] for z in zones] == [[getattr(z, n) for n in kinds] for z in want]
+    for z in zones:
+        assert z.unique == (store.log([z]).select("key").distinct().count() == z.count)
+    assert any(z.unique for z in zones) and not all(z.unique for z in zones)
+
+
+def test_scan_of_disjoint_batches_resolves_nothing(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", Config(hot_ttl=None))
+    for a in (0, 500):
+        store.put_batch(spark.range(a, a + 500).selectExpr("format_string('k%05d', id) key", "id ts", "map('a', 'b') labels", "map('n', 1d) numerics", "cast('' as binary) payload", "cast(null as string) text"), order=["ts"])
+    plan = store.scan(QuerySpec())._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan and store.scan(QuerySpec()).count() == 1000
+    store.put("k00007", 5000)  # from here on a key has two writes
+    assert store.scan(QuerySpec()).count() == 1000 and store.get("k00007")["ts"] == 5000
+
+
+def test_files_cost_what_their_rows_need(spark, tmp_path):
+    """No file holds a filter on keys of a fixed size; a whole folder is read as one path, a part of it file by file."""
+    store = Store(spark, f"file://{tmp_path}/s", Config(hot_ttl=None, max_segment_records=20))
+    store.put_batch(spark.range(400).selectExpr("format_string('k%05d', id) key", "id ts", "map('a', 'b') labels", "map('n', 1d) numerics", "cast('' as binary) payload", "cast(null as string) text"), order=["ts"])
+    zones = list(store.snapshot().zones)
+    assert len(zones) >= 20 and max(z.bytes for z in zones) < 20_000
+    assert store._paths(zones) == [zones[0].file.rpartition("/")[0]]
+    assert store._paths(zones[1:]) == [z.file for z in zones[1:]] and store.log(zones[1:]).count() == 400 - zones[0].count
+    assert all(store.files.sizes(zones[0].file.rpartition("/")[0])[z.file] == z.bytes for z in zones)
+
+
 def test_postings_are_written_without_a_shuffle(spark, tmp_path):
     texts = spark.range(300).selectExpr("format_string('k%05d', id) key", "concat('The the ', id % 7, ' Word', id) text").repartition(3)
     at = f"file://{tmp_path}/p"
