@@ -10,12 +10,13 @@ import time
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.plans.zones import Overlap, Zone, alone
 from spanlake.schema import LOG_COLUMNS
-from spanlake.sources.files import copy_on_executors, short
+from spanlake.sources.files import copy_on_executors, short, spelled
 
 from .fold import fold
 from .reclaim import dead_rows
@@ -166,19 +167,29 @@ def groom(store: Store, now: int) -> int:
     touches = Overlap(some)
     near = [z for z in zones if z.id in left and touches(z)]
     hot, cold = [z for z in near if z.tier == "hot"], [z for z in near if z.tier != "hot"]
-    keys = store.log(some).select("key").distinct()
-    winners = fold(store.log(near).join(keys, "key", "left_semi"), list(store.snapshot().metrics))
-    dead = expired(winners.where("op <> 'del'"), policy, now).select("key", "seq", "ts")
-    if not dead.isEmpty():
-        rows = store.log(hot).join(dead.select("key"), "key", "left_anti").select(*LOG_COLUMNS)
-        if cold:
-            hidden = dead.join(store.log(cold).select("key").distinct(), "key", "left_semi")
-            marks = hidden.select("key", "ts", *[F.lit(None).cast(t).alias(c) for c, t in (("labels", "map<string,string>"), ("numerics", "map<string,double>"), ("payload", "binary"), ("text", "string"))], "seq", F.lit("del").alias("op"))
-            rows = rows.unionByName(marks)
-        swap(store, hot, rows, fewer="rows_expired")
+    log = store.log(near)
+    if len(some) < len(near):
+        log = log.join(store.log(some).select("key").distinct(), "key", "left_semi")
+    winners = fold(log, list(store.snapshot().metrics))
+    # Kept on disk, as it is asked for more than once and stands on a fold.
+    dead = expired(winners.where("op <> 'del'"), policy, now).select("key", "seq", "ts").persist(StorageLevel.DISK_ONLY)
+    try:
+        if dead.count():
+            rows = store.log(hot).join(dead.select("key"), "key", "left_anti").select(*LOG_COLUMNS)
+            if cold:
+                hidden = dead.join(store.log(cold).select("key").distinct(), "key", "left_semi")
+                marks = hidden.select("key", "ts", *[F.lit(None).cast(t).alias(c) for c, t in (("labels", "map<string,string>"), ("numerics", "map<string,double>"), ("payload", "binary"), ("text", "string"))], "seq", F.lit("del").alias("op"))
+                rows = rows.unionByName(marks)
+            swap(store, hot, rows, fewer="rows_expired")
+    finally:
+        dead.unpersist()
     return len(gone)
 
 
+def _number(name: Column) -> Column:
+    return F.xxhash64(name)
+
+
 def reclaim(store: Store, files: int | None = None) -> int:
     """Rewrite sealed hot files in which half the rows or more are dead; returns the rows that went.
 
@@ -195,15 +206,21 @@ def reclaim(store: Store, files: int | None = None) -> int:
     store.audited = sealed[-1].id
     touches = Overlap(sealed)
     near = [z for z in zones if touches(z)]
-    slim = store.log(near, file=True).select("key", "seq", "op", "_file")
-    marked = dead_rows(slim)
-    counts = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dead").cast("long")).alias("dead"))
-    bad = {store.files.full(r["_file"]) for r in counts.where("dead * 2 >= n").collect()}
-    chosen = [z for z in sealed if store.files.full(z.file) in bad]
-    if not chosen:
-        return 0
-    rows = store.log(chosen).join(marked.where("not dead").select("key", "seq"), ["key", "seq"], "left_semi")
-    new = swap(store, chosen, rows, fewer="rows_reclaimed")
+    # A file's number of eight bytes goes through the shuffle, not its path. Kept on disk, as rows are looked up in it.
+    slim = store.log(near, file=True).select("key", "seq", "op", _number(F.substring_index("_file", "/", -2)).alias("_file"))
+    marked = dead_rows(slim).select("key", "seq", "_file", "dead").persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = marked.groupBy("_file").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dead").cast("long")).alias("dead"))
+        bad = {r["_file"] for r in counts.where("dead * 2 >= n").collect()}
+        numbers = store.spark.createDataFrame([(z.id, short(z.file)) for z in sealed], "id long, name string").select("id", _number(F.col("name")).alias("n"))
+        hit = {r["id"] for r in numbers.collect() if r["n"] in bad}
+        chosen = [z for z in sealed if z.id in hit]
+        if not chosen:
+            return 0
+        rows = store.log(chosen).join(marked.where("not dead").select("key", "seq"), ["key", "seq"], "left_semi")
+        new = swap(store, chosen, rows, fewer="rows_reclaimed")
+    finally:
+        marked.unpersist()
     return sum(z.count for z in chosen) - sum(z.count for z in new)
 
 
@@ -220,13 +237,12 @@ def tier(store: Store, now: int) -> int:
             return "remote"
         return None
 
+    roots = {t: store.files.full(r).rstrip("/") if r else None for t, r in (("cold", c.cold_root), ("remote", c.remote_root))}
     moved: dict[int, Zone] = {}
     for z in snap.zones:
         if to := target(z):
-            root = c.remote_root if to == "remote" else c.cold_root
-            folder, name = z.file.rsplit("/", 2)[1:]
-            moved[z.id] = replace(z, tier=to, file=store.files.full(f"{root}/{folder}/{name}") if root else z.file)
-    copies = [(store.files.full(z.file), moved[z.id].file) for z in snap.zones if z.id in moved and moved[z.id].file != z.file]
+            moved[z.id] = replace(z, tier=to, file=f"{roots[to]}/{short(z.file)}" if roots[to] else z.file)
+    copies = [(z.file, moved[z.id].file) for z in snap.zones if z.id in moved and moved[z.id].file != z.file]
     if copies:
         copy_on_executors(store.spark, copies)
     if moved:
@@ -286,23 +302,23 @@ def vacuum(store: Store, grace: int | None = None, *, tiers: tuple[str, ...] = (
     writes keep theirs): data, postings, blobs and commits behind a checkpoint. Returns deleted data files."""
     before = time.time_ns() - (store.config.vacuum_grace if grace is None else grace)
     now, files = store.snapshot(), store.files
-    live = {files.full(z.file) for z in now.zones}
+    live = {spelled(z.file) for z in now.zones}
     roots = {"hot": f"{store.root}/hot", "cold": store.config.cold_root, "remote": store.config.remote_root}
     n = 0
     for name in tiers:
         for folder in files.entries(roots[name]) if roots[name] else []:
             inside = list(files.tree(folder.path)) if folder.is_dir else [folder]
-            dead = [e for e in inside if e.path not in live]
+            dead = [e for e in inside if spelled(e.path) not in live]
             if any(e.changed > before for e in inside):
                 continue
             n += sum(e.name.endswith(".parquet") for e in dead)
             for e in [folder] if len(dead) == len(inside) else dead:
                 files.delete(e.path)
     if len(tiers) == 3:
-        used = {"index": {z.index for z in now.zones}, "blobs": {b.folder for b in now.blobs}}
+        used = {"index": {spelled(z.index) for z in now.zones if z.index}, "blobs": {spelled(b.folder) for b in now.blobs}}
         for kind, kept in used.items():
             for folder in files.entries(f"{store.root}/{kind}"):
-                if folder.changed <= before and folder.path not in {files.full(k) for k in kept if k}:
+                if folder.changed <= before and spelled(folder.path) not in kept:
                     files.delete(folder.path)
         store.commits.trim(before)
     return n
