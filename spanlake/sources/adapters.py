@@ -3,6 +3,9 @@ query does not use is pruned from the scan."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +15,20 @@ def nanos(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {ts}) * 1000")
 
 
+def _present(columns: dict[str, Column], kind: str) -> Column:
+    """A map of the columns that are not null. The filter is slow, so only rows of which a part is null take it."""
+    empty = F.create_map().cast(kind)
+    if not columns:
+        return empty
+    every = F.create_map(*[x for n, v in columns.items() for x in (F.lit(n), v)])
+    whole = reduce(and_, [v.isNotNull() for v in columns.values()])
+    return F.when(whole, every).otherwise(empty if len(columns) == 1 else F.map_filter(every, lambda _, v: v.isNotNull()))
+
+
 def _maps(labels: dict[str, Column], metrics: dict[str, Column]) -> dict[str, Column]:
-    pairs = lambda m: [x for n, v in m.items() for x in (F.lit(n), v)]
     out = {f"l_{n}": v for n, v in labels.items()} | {f"n_{n}": v for n, v in metrics.items()}
-    out["labels"] = F.map_filter(F.create_map(*pairs(labels)), lambda _, v: v.isNotNull()) if labels else F.create_map().cast("map<string,string>")
-    out["numerics"] = F.map_filter(F.create_map(*pairs(metrics)), lambda _, v: v.isNotNull()) if metrics else F.create_map().cast("map<string,double>")
+    out["labels"] = _present(labels, "map<string,string>")
+    out["numerics"] = _present(metrics, "map<string,double>")
     return out
 
 

@@ -13,12 +13,13 @@ import re
 import time
 import uuid
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 from typing import Any, TypeVar
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.functions.metrics import content_id, record_bytes
@@ -112,36 +113,55 @@ class Store:
             return
         if order is None:
             raise ValueError("a DataFrame needs the columns of its write order")
+        self._write_frame(rows, order, None, [batch])
+
+    def put_batches(self, rows: DataFrame, *, order: list[str], number: Column, batches: list[str]) -> None:
+        """Several batches of one DataFrame, as :meth:`put_batch` would write them one after the other, by one pass over it:
+        the rows whose ``number`` is k are the batch with the id ``batches[k]``, rows with another number are left out. Each
+        batch has a commit of its own and files of its own; if one can't be committed, those before it stay."""
+        self._write_frame(rows, order, number, list(batches))
+
+    def _write_frame(self, rows: DataFrame, order: list[str], number: Column | None, batches: list[str | None]) -> None:
         self._open()
         self.flush()
         now = self.snapshot()
-        if batch is not None and batch in now.batches:
+        todo = [k for k, b in enumerate(batches) if b is None or (b not in now.batches and b not in batches[:k])]
+        if not todo:
             return
         op = F.col("op") if "op" in rows.columns else F.lit(PUT)
-        named = rows.select(*RECORD_COLUMNS, op.alias("op"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+        named = rows.select(*RECORD_COLUMNS, op.alias("op"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *([] if number is None else [number.cast("long").alias("_batch")]))
         by = ["key", *[f"_o{k}" for k in range(len(order))]]
-        # Range partitions by key and order: a hot key is split, files come out sorted, and the place of a row in its
-        # partition is its write order. Kept on disk, as the partitions are counted before they are written.
-        x = normalised(named).repartitionByRange(*by).sortWithinPartitions(*by)
-        x = x.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist(StorageLevel.DISK_ONLY)
+        if number is not None:
+            named, by = named.where(F.col("_batch").isin(todo)), ["_batch", *by]
+        # Range partitions by batch, key and order: a hot key is split, files come out sorted, and the place of a row in its
+        # sorted partition is its write order. Kept on disk, as the partitions are counted before they are written.
+        x = normalised(named).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
         try:
             bad = F.exists(F.map_keys("labels"), lambda n: n.startswith(RESERVED_PREFIX))
-            parts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(F.col("key"), F.col("payload"))).alias("bytes"), F.max(F.coalesce(bad, F.lit(False))).alias("bad")).orderBy("_part").collect()
+            of = F.lit(0) if number is None else F.col("_batch")
+            parts = x.groupBy("_part", of.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(F.col("key"), F.col("payload"))).alias("bytes"), F.max(F.coalesce(bad, F.lit(False))).alias("bad")).orderBy("_part", "batch").collect()
             if any(r["bad"] for r in parts):
                 raise ValueError(f"label names may not start with {RESERVED_PREFIX}")
-            starts, seq = [], now.next_seq
-            for r in parts:
-                starts.append((r["_part"], seq))
-                seq += r["n"]
             if not parts:
                 return
-            # A row for each partition.
-            offsets = self.spark.createDataFrame(starts, "_part int, _start long")
-            logged = x.join(F.broadcast(offsets), "_part").withColumn("seq", F.col("_start") + F.col("_at"))
-            zones = self.write_files(logged, now, arranged=True, mean=sum(r["bytes"] for r in parts) / max(1, seq - now.next_seq), most=max(r["n"] for r in parts))
+            # A number for each partition: the write order of its first row. What each batch has in rows and bytes.
+            starts, seq, sizes = [0] * (parts[-1]["_part"] + 1), now.next_seq, {}
+            for r in parts:
+                starts[r["_part"]] = starts[r["_part"]] or seq
+                seq += r["n"]
+                n, size = sizes.get(r["batch"], (0, 0))
+                sizes[r["batch"]] = (n + r["n"], size + r["bytes"])
+            at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+            logged = x.sortWithinPartitions(*by).withColumn("seq", F.array(*map(F.lit, starts))[F.col("_part")].cast("long") + at)
+            mean = max(size / n for n, size in sizes.values())
+            zones = self.write_files(logged, now, arranged=True, mean=mean, most=max(r["n"] for r in parts), apart=None if number is None else "_batch")
         finally:
             x.unpersist()
-        self._publish(now, zones, seq, [batch] if batch else [])
+        for k in sorted(sizes):
+            # Write orders rise from batch to batch, so they tell whose file it is.
+            end = now.next_seq + sizes[k][0]
+            own = [z for z in zones if now.next_seq <= z.min_seq < end]
+            now = self._publish(now, [replace(z, id=now.next_file + i) for i, z in enumerate(own)], end, [batches[k]] if batches[k] else [])
 
     def delete(self, key: str, ts: int) -> None:
         self._add([(key, ts, {}, {}, b"", None, DEL)])
@@ -186,10 +206,10 @@ class Store:
             self._publish(now, zones, now.next_seq + len(self.buffer), self.pending)
         self.buffer, self.pending, self.unsynced = [], [], 0
 
-    def _publish(self, now: Snapshot, zones: list[Zone], next_seq: int, batches: list[str]) -> None:
+    def _publish(self, now: Snapshot, zones: list[Zone], next_seq: int, batches: list[str]) -> Snapshot:
         metrics = tuple(sorted({*now.metrics, *(n for z in zones for n in z.numerics)}))
         new = replace(now, next_seq=next_seq, next_file=now.next_file + len(zones), zones=(*now.zones, *zones), metrics=metrics, batches=(*now.batches, *batches)[-1000:])
-        self.commits.add(new.counted(rows_written=sum(z.count for z in zones), bytes_flushed=sum(z.bytes for z in zones)))
+        return self.commits.add(new.counted(rows_written=sum(z.count for z in zones), bytes_flushed=sum(z.bytes for z in zones)))
 
     def new_folder(self, kind: str, now: Snapshot) -> str:
         return f"{self.root}/{kind}/{now.id + 1:012d}-{uuid.uuid4().hex[:8]}"
@@ -230,11 +250,14 @@ class Store:
     def _records_a_file(self, mean: float) -> int:
         return max(1, min(self.config.max_segment_records, int(self.config.max_segment_bytes / max(1.0, mean))))
 
-    def write_files(self, rows: DataFrame, now: Snapshot, *, arranged: bool = False, mean: float = 0.0, most: int | None = None, created: int | None = None, tier: str = "hot") -> list[Zone]:
+    def write_files(self, rows: DataFrame, now: Snapshot, *, arranged: bool = False, mean: float = 0.0, most: int | None = None, created: int | None = None, tier: str = "hot", apart: str | None = None) -> list[Zone]:
         """Write log rows as key-sorted files and return their zones; nothing is committed. ``arranged``: the rows are in
-        range partitions and sorted; ``mean``: bytes of a record; ``most``: rows that a file can hold at most, if known."""
+        range partitions and sorted; ``mean``: bytes of a record; ``most``: rows that a file can hold at most, if known;
+        ``apart``: a column of whole numbers, by which arranged rows are sorted first: each has a folder of its own."""
         folder = self.new_folder(tier, now)
-        x, width = rows.select(*LOG_COLUMNS), self._records_a_file(mean)
+        # A folder's name and that of a file in it must be those of no other file, so numbers are moved by a large one.
+        first = uuid.uuid4().int >> 66
+        x, width = rows.select(*LOG_COLUMNS, *([] if apart is None else [apart])), self._records_a_file(mean)
         # The choice of ranges reads all rows once before they are written, so what makes them runs once, onto disk.
         held = None if arranged else x.persist(StorageLevel.DISK_ONLY)
         try:
@@ -243,17 +266,21 @@ class Store:
             x = promote(x, self.config.promote_labels, self.config.promote_metrics)
             # A filter on keys is as large as a file's keys need; without their number it takes a megabyte in each file.
             keys = max(1, min(width, width if most is None else most))
-            x.write.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys).parquet(folder)
+            to = x.write if apart is None else x.withColumn(apart, F.col(apart) + first).withColumnRenamed(apart, "batch").write.partitionBy("batch")
+            to.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys).parquet(folder)
         finally:
             if held is not None:
                 held.unpersist()
         log = self.spark.read.schema(self._schema([])).parquet(folder)
         meta = {"_name": "file_name", "_block": "file_block_start", "_size": "file_size"}
-        read = log.select(*LOG_COLUMNS, F.col("text").isNotNull().alias("_text"), *[F.col(f"_metadata.{v}").alias(n) for n, v in meta.items()])
+        read = log.select(*LOG_COLUMNS, F.col("text").isNotNull().alias("_text"), *[F.col(f"_metadata.{v}").alias(n) for n, v in meta.items()], *([] if apart is None else ["batch"]))
+        if apart is not None:
+            read = read.withColumn("_name", F.concat(F.lit("batch="), F.col("batch"), F.lit("/"), F.col("_name")))
         number = iter(range(now.next_file, 1 << 62))
         made = created or time.time_ns()
         zones = file_zones(read, lambda name: {"file": f"{folder}/{name}", "id": next(number), "created": made, "tier": tier, "promoted": self.config.promoted})
-        zones = [replace(z, folder_files=len(zones)) for z in zones]
+        inside = Counter(z.file.rpartition("/")[0] for z in zones)
+        zones = [replace(z, folder_files=inside[z.file.rpartition("/")[0]]) for z in zones]
         if self.config.index_text and any(z.texts for z in zones):
             index = self.new_folder("index", now)
             text_index.write_postings(log, index)

@@ -31,12 +31,12 @@ def fresh(spark: SparkSession, config: Config = PLAIN) -> Store:
 
 
 def fill(store: Store, log: DataFrame, parts: int = 4) -> Store:
-    """Write a log in its order, in some batches."""
+    """Write a log in its order, in some batches, by one pass over it."""
     top = log.agg(F.max("seq")).first()[0] or 0
-    # Part k is where (seq * parts) div (top + 1) = k, said as a range so that it reaches the scan.
-    starts = [-(-k * (top + 1) // parts) for k in range(parts + 1)]
-    for k in range(parts):
-        store.put_batch(log.where(F.col("seq").between(starts[k], starts[k + 1] - 1)), order=["seq"], batch=f"part-{k}")
+    # Part k is where (seq * parts) div (top + 1) = k, that is how many of the parts' starts but the first lie at or before seq.
+    starts = [-(-k * (top + 1) // parts) for k in range(1, parts)]
+    number = sum(((F.col("seq") >= s).cast("long") for s in starts), F.lit(0))
+    store.put_batches(log.where(F.col("seq").between(0, top)), order=["seq"], number=number, batches=[f"part-{k}" for k in range(parts)])
     return store
 
 
@@ -236,8 +236,10 @@ def store_promoted_later(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_compacted_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two middle batches merged."""
     store = ops(spark, sf_dir)
+    # A batch has a folder of its own.
     z = sorted(store.snapshot().zones, key=lambda z: z.min_seq)
-    maintenance.compact(store, 0, z[len(z) // 4 : 3 * len(z) // 4])
+    folders = list(dict.fromkeys(x.file.rpartition("/")[0] for x in z))
+    maintenance.compact(store, 0, [x for x in z if x.file.rpartition("/")[0] in folders[1:3]])
     return show_total(store.scan(QuerySpec()))
 
 

@@ -5,15 +5,17 @@ import time
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanlake.operators import maintenance as m
 from spanlake.operators import text_index
 from spanlake.operators.retention import Policy
 from spanlake.plans.spec import TS_DESC, OrderBy, QuerySpec
 from spanlake.plans.zones import zones_of
-from spanlake.sources import commits
+from spanlake.sources import adapters, commits
 from spanlake.sources.commits import ConflictError, CorruptError
 from spanlake.sources.store import Config, Store
+from spanlake.store_queries import PLAIN, fill
 from tests import oracle
 from tests.test_reads import SPECS, history, view
 
@@ -469,3 +471,64 @@ def test_postings_are_written_without_a_shuffle(spark, tmp_path):
     for file in got.select("_metadata.file_path").distinct().collect():
         own = [tuple(r) for r in spark.read.parquet(file[0]).collect()]
         assert own == sorted(own)
+
+
+def jobs(spark, name, run):
+    """How many Spark jobs ``run`` starts."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_batches_of_one_frame_are_written_in_one_pass(spark, tmp_path):
+    """They are what batches written one by one are: a commit, an id, files and a stretch of the write order each."""
+    cfg = Config(hot_ttl=None, max_segment_records=60, cold_root=f"file://{tmp_path}/cold", promote_labels=("a",))
+    rows = [(f"k{k % 37:02d}", k, {"a": str(k % 3)}, {"n": 1.0}, b"", None, k, "incr" if k % 4 == 1 else "del" if k % 11 == 5 else "put") for k in range(1000)]
+    log = spark.createDataFrame(rows, f"{RECORD}, o long, op string").repartition(3)
+    one, many = (Store(spark, f"file://{tmp_path}/{n}", cfg) for n in ("one", "many"))
+    ids = ["x", "y", "x", "none", "z"]  # the second x is known by then, and no row has the number 3
+    number = F.when(F.col("o") < 200, 0).when(F.col("o") < 300, 1).when(F.col("o") < 400, 2).when(F.col("o") < 990, 4)
+    for k, b in enumerate(ids):
+        many.put_batch(log.where(number == k), order=["o"], batch=b)
+    one.put_batches(log, order=["o"], number=number, batches=ids)
+    written = lambda s: sorted((r["seq"], r["key"], r["ts"], r["op"], r["l_a"]) for r in s.log().collect())
+    assert written(one) == written(many) and len(written(one)) == 890
+    assert one.snapshot().batches == many.snapshot().batches == ("x", "y", "z") and one.snapshot().id == many.snapshot().id
+    zones = one.snapshot().zones
+    assert len({z.id for z in zones}) == len(zones) and one.snapshot().next_file == max(z.id for z in zones) + 1
+    assert all(a <= z.min_seq <= z.max_seq < b for z in zones for a, b in ((1, 201), (201, 301), (301, 891)) if a <= z.min_seq < b)
+    for z in zones:
+        held = one.log([z]).select("key", "seq").collect()
+        assert held == sorted(held, key=lambda r: (r["key"], r["seq"])) and len(held) == z.count <= 60
+    assert len(one._paths(zones)) == 3  # a folder for each batch
+    one.put_batches(log, order=["o"], number=number, batches=ids)
+    assert one.snapshot().zones == zones
+    before = sorted(one.scan(QuerySpec()).collect(), key=str)
+    m.tier(one, time.time_ns() + 25 * HOUR)
+    one.vacuum(0)
+    assert sorted(Store(spark, one.root, cfg).scan(QuerySpec()).collect(), key=str) == before == sorted(many.scan(QuerySpec()).collect(), key=str)
+
+
+def test_a_filled_store_costs_no_more_for_more_batches(spark, tmp_path, sf_dir):
+    """The log was read and shuffled for each batch by itself."""
+    log = adapters.oplog(spark, sf_dir)
+    made = [Store(spark, f"file://{tmp_path}/{n}", PLAIN) for n in (1, 8)]
+    n = [jobs(spark, f"fill-{k}", lambda s=s, k=k: fill(s, log, k)) for s, k in zip(made, (1, 8), strict=True)]
+    assert n[1] <= n[0] + 2 and made[1].snapshot().id == made[0].snapshot().id + 7
+    assert made[0].snapshot().next_seq == made[1].snapshot().next_seq == log.count() + 1
+    for store in made:
+        for z in store.snapshot().zones:
+            held = store.log([z]).select("key", "seq").collect()
+            assert held == sorted(held, key=lambda r: (r["key"], r["seq"]))
+
+
+def test_adapters_leave_out_what_is_null(spark, tmp_path):
+    rows = [(1, "a", None, 1.0), (2, None, 7, None), (3, "b", 8, 2.0), (4, None, None, None)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' ts", "'{}' props").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r["seq"]: (r["labels"], r["numerics"]) for r in adapters.spans(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: ({"event_type": "a"}, {"value": 1.0}), 2: ({"user": "u7"}, {}), 3: ({"event_type": "b", "user": "u8"}, {"value": 2.0}), 4: ({}, {})}
+    log = adapters.oplog(spark, f"file://{tmp_path}")
+    assert "lambda" not in log._jdf.queryExecution().optimizedPlan().toString()
