@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import maintenance as m
 from spanlake.operators import text_index
+from spanlake.operators.fold import resolve
 from spanlake.operators.retention import Policy
 from spanlake.plans.spec import TS_DESC, OrderBy, QuerySpec
 from spanlake.plans.zones import zones_of
@@ -525,6 +526,13 @@ def test_a_filled_store_costs_no_more_for_more_batches(spark, tmp_path, sf_dir):
             assert held == sorted(held, key=lambda r: (r["key"], r["seq"]))
 
 
+def test_a_fold_aggregates_the_log_once(spark, sf_dir):
+    """The keys' bases and the search for hot keys ask for the same aggregation, so that its exchange is used again."""
+    plan = resolve(adapters.oplog(spark, sf_dir), ["value"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    found = [x for x in plan if "Aggregate [key" in x and "count(1)" in x]
+    assert len(found) == 3 and all("max(CASE" in x for x in found)
+
+
 def test_adapters_leave_out_what_is_null(spark, tmp_path):
     rows = [(1, "a", None, 1.0), (2, None, 7, None), (3, "b", 8, 2.0), (4, None, None, None)]
     spark.createDataFrame(rows, "event_id long, event_type string, user_id long, value double").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' ts", "'{}' props").write.parquet(f"file://{tmp_path}/events.parquet")
