@@ -267,7 +267,9 @@ class Store:
             # A filter on keys is as large as a file's keys need; without their number it takes a megabyte in each file.
             keys = max(1, min(width, width if most is None else most))
             to = x.write if apart is None else x.withColumn(apart, F.col(apart) + first).withColumnRenamed(apart, "batch").write.partitionBy("batch")
-            to.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys).parquet(folder)
+            to = to.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys)
+            # Write orders never repeat and times seldom do: dictionaries of them would be made only to be thrown away.
+            to.option("parquet.enable.dictionary#seq", "false").option("parquet.enable.dictionary#ts", "false").parquet(folder)
         finally:
             if held is not None:
                 held.unpersist()

@@ -540,3 +540,16 @@ def test_adapters_leave_out_what_is_null(spark, tmp_path):
     assert got == {1: ({"event_type": "a"}, {"value": 1.0}), 2: ({"user": "u7"}, {}), 3: ({"event_type": "b", "user": "u8"}, {"value": 2.0}), 4: ({}, {})}
     log = adapters.oplog(spark, f"file://{tmp_path}")
     assert "lambda" not in log._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_dictionary_of_write_orders_and_times(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = Store(spark, f"file://{tmp_path}/s", PLAIN)
+    store.put_batch(spark.range(100).selectExpr("format_string('k%05d', id) key", "id div 50 ts", "map('a', 'b') labels", "map('n', 1d) numerics", "cast('' as binary) payload", "cast(null as string) text", "id o"), order=["o"])
+    for z in store.snapshot().zones:
+        group = pq.read_metadata(z.file.removeprefix("file:")).row_group(0)
+        columns = {group.column(k).path_in_schema: group.column(k) for k in range(group.num_columns)}
+        assert not any(columns[n].has_dictionary_page for n in ("seq", "ts")) and columns["op"].has_dictionary_page
+        assert columns["ts"].statistics.min == z.min_ts
+    assert [r["ts"] for r in store.scan(QuerySpec(time_range=(1, 1), key_prefix="k0009")).collect()] == [1] * 10
