@@ -131,14 +131,16 @@ class Store:
         op = F.col("op") if "op" in rows.columns else F.lit(PUT)
         named = rows.select(*RECORD_COLUMNS, op.alias("op"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *([] if number is None else [number.cast("long").alias("_batch")]))
         by = ["key", *[f"_o{k}" for k in range(len(order))]]
+        # A folder's name and that of a file in it must be those of no other file, so numbers of batches are moved by a large one.
+        moved = uuid.uuid4().int >> 66
         if number is not None:
-            named, by = named.where(F.col("_batch").isin(todo)), ["_batch", *by]
+            named, by = named.where(F.col("_batch").isin(todo)).withColumn("_batch", F.col("_batch") + moved), ["_batch", *by]
         # Range partitions by batch, key and order: a hot key is split, files come out sorted, and the place of a row in its
         # sorted partition is its write order. Kept on disk, as the partitions are counted before they are written.
         x = normalised(named).repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
         try:
             bad = F.exists(F.map_keys("labels"), lambda n: n.startswith(RESERVED_PREFIX))
-            of = F.lit(0) if number is None else F.col("_batch")
+            of = F.lit(0) if number is None else F.col("_batch") - moved
             parts = x.groupBy("_part", of.alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(F.col("key"), F.col("payload"))).alias("bytes"), F.max(F.coalesce(bad, F.lit(False))).alias("bad")).orderBy("_part", "batch").collect()
             if any(r["bad"] for r in parts):
                 raise ValueError(f"label names may not start with {RESERVED_PREFIX}")
@@ -253,10 +255,9 @@ class Store:
     def write_files(self, rows: DataFrame, now: Snapshot, *, arranged: bool = False, mean: float = 0.0, most: int | None = None, created: int | None = None, tier: str = "hot", apart: str | None = None) -> list[Zone]:
         """Write log rows as key-sorted files and return their zones; nothing is committed. ``arranged``: the rows are in
         range partitions and sorted; ``mean``: bytes of a record; ``most``: rows that a file can hold at most, if known;
-        ``apart``: a column of whole numbers, by which arranged rows are sorted first: each has a folder of its own."""
+        ``apart``: a column of whole numbers that no other write has, by which arranged rows are sorted first: each has a
+        folder of its own."""
         folder = self.new_folder(tier, now)
-        # A folder's name and that of a file in it must be those of no other file, so numbers are moved by a large one.
-        first = uuid.uuid4().int >> 66
         x, width = rows.select(*LOG_COLUMNS, *([] if apart is None else [apart])), self._records_a_file(mean)
         # The choice of ranges reads all rows once before they are written, so what makes them runs once, onto disk.
         held = None if arranged else x.persist(StorageLevel.DISK_ONLY)
@@ -266,7 +267,9 @@ class Store:
             x = promote(x, self.config.promote_labels, self.config.promote_metrics)
             # A filter on keys is as large as a file's keys need; without their number it takes a megabyte in each file.
             keys = max(1, min(width, width if most is None else most))
-            to = x.write if apart is None else x.withColumn(apart, F.col(apart) + first).withColumnRenamed(apart, "batch").write.partitionBy("batch")
+            # The column itself, as Spark would sort rows again by one that is computed after they were sorted, and when that
+            # sort spills it loses their order.
+            to = x.write if apart is None else x.withColumnRenamed(apart, "batch").write.partitionBy("batch")
             to = to.option("maxRecordsPerFile", width).option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", keys)
             # Write orders never repeat and times seldom do: dictionaries of them would be made only to be thrown away.
             to.option("parquet.enable.dictionary#seq", "false").option("parquet.enable.dictionary#ts", "false").parquet(folder)

@@ -1,6 +1,9 @@
 """The store through its life: writes, files, commits, upkeep. Reads must not change under any of it."""
 
 import hashlib
+import os
+import subprocess
+import sys
 import time
 from dataclasses import replace
 
@@ -526,6 +529,30 @@ def test_a_filled_store_costs_no_more_for_more_batches(spark, tmp_path, sf_dir):
             assert held == sorted(held, key=lambda r: (r["key"], r["seq"]))
 
 
+SPILLING = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from spanlake.sources.store import Store
+from spanlake.store_queries import PLAIN
+
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.shuffle.spill.numElementsForceSpillThreshold", "500").getOrCreate()
+rows = spark.range(20000).selectExpr("format_string('k%05d', id * 7919 % 20000) key", "id ts", "map('a', 'b') labels", "map('n', 1d) numerics", "cast('' as binary) payload", "cast(null as string) text", "id o")
+store = Store(spark, sys.argv[1], PLAIN)
+store.put_batches(rows, order=["o"], number=F.col("o") % 3, batches=["a", "b", "c"])
+print("unique", [z.unique for z in store.snapshot().zones])
+"""
+
+
+def test_batches_keep_their_order_where_sorts_spill(tmp_path):
+    """They were sorted by batch again as they were written, which lost the order of keys once that sort spilled. A session
+    of its own, as the rows from which sorts spill are fixed with it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"}
+    run = subprocess.run([sys.executable, "-c", SPILLING, f"file://{tmp_path}/s"], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    said = [x for x in run.stdout.splitlines() if x.startswith("unique")]
+    assert said and "True" in said[0] and "False" not in said[0], run.stdout + run.stderr
+
+
 def test_a_fold_aggregates_the_log_once(spark, sf_dir):
     """The keys' bases and the search for hot keys ask for the same aggregation, so that its exchange is used again."""
     plan = resolve(adapters.oplog(spark, sf_dir), ["value"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
